@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from linkweave.llm.packing import op1_best_fit_packing
+from linkweave.llm.simhash import op8_simhash
 from linkweave.llm.token_store import op3_token_store
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_store": op3_token_store,
+    "op8_simhash": op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
