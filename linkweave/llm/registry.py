@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from linkweave.llm.packing import op1_best_fit_packing
 from linkweave.llm.pii import op10_pii
+from linkweave.llm.quality_rules import op7_quality_rules
 from linkweave.llm.simhash import op8_simhash
 from linkweave.llm.token_store import op3_token_store
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_store": op3_token_store,
+    "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op10_pii": op10_pii,
 }
