@@ -8,11 +8,13 @@ from linkweave.llm.pii import op10_pii
 from linkweave.llm.quality_rules import op7_quality_rules
 from linkweave.llm.simhash import op8_simhash
 from linkweave.llm.token_store import op3_token_store
+from linkweave.llm.toxicity import op4_toxicity
 from linkweave.llm.url_filter import op6_url_filter
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_store": op3_token_store,
+    "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
