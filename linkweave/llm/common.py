@@ -73,3 +73,8 @@ def doc_columns(docs: DataFrame) -> DataFrame:
 def spread(spark: SparkSession, rows: int, per_task: int) -> int:
     """Number of partitions that hold about `per_task` rows each."""
     return max(1, -(-rows // per_task))
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, from its files; nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -29,8 +29,8 @@ MAGIC = b"LWRP"
 HEAD = struct.Struct("<4sIIIIIQQ")
 #: A shard closes once it has this many ids; a longer document has a shard of its own.
 SHARD_IDS = 1_000_000
-#: Text bytes that a partition gets, about.
-PARTITION_CHARS = 24_000_000
+#: Bytes of the table, as stored, that a partition gets, about.
+PARTITION_BYTES = 12_000_000
 #: A pair is replaced if the shard holds it this often.
 LEAST_COUNT = 12
 #: Most rounds over a shard, and most pairs replaced in one of them.
@@ -39,24 +39,31 @@ ROUNDS, ROUND_PAIRS = 6, 8192
 NARROW = 1 << 16
 
 
-def _frequent(key: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that occur `least` times or more, at most `most` of them, by falling count then key; counted through buckets first."""
-    bits = np.uint64(18)
-    bucket = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - bits)
-    often = np.bincount(bucket.astype(np.int64), minlength=1 << 18)[bucket.astype(np.int64)] >= least
-    some = np.sort(key[often])
+#: Buckets that pairs are counted and looked up through, as a power of two.
+BUCKETS = 18
+
+
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
+
+
+def _frequent(key: np.ndarray, bucket: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The pairs that occur `least` times or more, at most `most` of them, by falling count then key, one for each
+    bucket: a bucket's count is no less than that of its pairs, so only full buckets are counted exactly."""
+    often = np.bincount(bucket, minlength=1 << BUCKETS) >= least
+    some = np.sort(key[often[bucket]])
     if not len(some):
-        return some, np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        return some
+    first = np.flatnonzero(np.append([True], some[1:] != some[:-1]))
     counts = np.diff(np.append(first, len(some)))
     keep = counts >= least
-    pairs, counts = some[first[keep]], counts[keep]
-    order = np.lexsort((pairs, -counts))[:most]
-    return pairs[order], counts[order]
+    pairs = some[first[keep]]
+    pairs = pairs[np.lexsort((pairs, -counts[keep]))]
+    return pairs[np.sort(np.unique(_bucket(pairs), return_index=True)[1])][:most]
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT, rounds: int = ROUNDS, round_pairs: int = ROUND_PAIRS):
-    """Symbols, symbol offset of each document's end, and rules of ids whose documents end at `ends`."""
+    """Symbols, symbol offset of each document's end, rules and the first nonterminal, for ids whose documents end at `ends`."""
     base = int(ids.max()) + 1 if len(ids) else 1
     room = NARROW - base if base < NARROW else 1 << 20
     seq = ids.astype(np.int64)
@@ -66,19 +73,27 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT, rounds:
     for _ in range(rounds):
         if len(seq) < 2 or len(rules) >= room:
             break
-        key = np.where(last[:-1], -1, seq[:-1] << 32 | seq[1:])
-        pairs, _counts = _frequent(key[key >= 0], least, min(round_pairs, room - len(rules)))
+        key = seq[:-1] << 32
+        key |= seq[1:]
+        inner = ~last[:-1]
+        bucket = _bucket(key)
+        pairs = _frequent(key[inner], bucket[inner], least, min(round_pairs, room - len(rules)))
         if not len(pairs):
             break
-        by_key = np.argsort(pairs)
-        at = np.searchsorted(pairs[by_key], key)
-        at[at == len(pairs)] = 0
-        hit = pairs[by_key][at] == key
-        rank = np.where(hit, by_key[at], len(pairs))  # the lower, the more frequent
-        before, after = np.append([len(pairs)], rank[:-1]), np.append(rank[1:], [len(pairs)])
-        take = np.flatnonzero(hit & (rank < before) & (rank <= after))
-        used, new = np.unique(rank[take], return_inverse=True)
-        seq[take] = base + len(rules) + new
+        none = len(pairs)
+        table = np.full(1 << BUCKETS, none, np.int32)
+        table[_bucket(pairs)] = np.arange(none)
+        rank = table[bucket]  # the lower, the more frequent
+        rank[(np.append(pairs, -1)[rank] != key) | ~inner] = none
+        wins = rank < none
+        wins[1:] &= rank[1:] < rank[:-1]
+        wins[:-1] &= rank[:-1] <= rank[1:]
+        take = np.flatnonzero(wins)
+        chosen = rank[take]
+        used = np.flatnonzero(np.bincount(chosen, minlength=none))
+        new = np.zeros(none, np.int64)
+        new[used] = base + len(rules) + np.arange(len(used))
+        seq[take] = new[chosen]
         rules = np.concatenate([rules, np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)])
         last[take] = last[take + 1]
         keep = np.ones(len(seq), bool)
@@ -131,22 +146,22 @@ class Shard:
         self.offsets = read("<u8", docs + 1).astype(np.int64)
         self.symbols = read(f"<u{wide}", symbols).astype(np.int64)
 
+        self._flat = None
+
     def lengths_of(self, seq: np.ndarray) -> np.ndarray:
-        out = np.ones(len(seq), np.int64)
-        big = seq >= self.base
-        out[big] = self.lengths[seq[big] - self.base]
-        return out
+        return np.append(np.ones(self.base, np.int64), self.lengths)[seq]
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        """All symbols become ids, one level of rules at a time."""
-        while (big := seq >= self.base).any():
-            size = 1 + big
-            ends = np.cumsum(size)
-            out = np.empty(int(ends[-1]), np.int64)
-            out[ends - size] = np.where(big, self.rules[np.where(big, seq - self.base, 0), 0], seq)
-            out[ends[big] - 1] = self.rules[seq[big] - self.base, 1]
-            seq = out
-        return seq.astype(np.uint32)
+        """The ids below each symbol, looked up in the rules' expansions, which are made once."""
+        if self._flat is None:
+            whole: list[list[int]] = []
+            for left, right in self.rules.tolist():
+                whole.append((whole[left - self.base] if left >= self.base else [left]) + (whole[right - self.base] if right >= self.base else [right]))
+            self._flat = np.append(np.arange(self.base), [x for w in whole for x in w]).astype(np.uint32)
+            self._starts = np.append(np.arange(self.base), self.base + np.cumsum(self.lengths) - self.lengths)
+        lens = self.lengths_of(seq)
+        ends = np.cumsum(lens)
+        return self._flat[np.repeat(self._starts[seq] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.offsets[k] : self.offsets[k + 1]])
@@ -190,8 +205,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
 
     spark = docs.sparkSession
     rows = common.doc_columns(docs)
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = common.spread(spark, chars, PARTITION_CHARS)
+    parts = common.spread(spark, common.stored_bytes(docs), PARTITION_BYTES)
     order = rows.withColumn("h", F.xxhash64("text"))
     order = order.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))

@@ -7,10 +7,12 @@ closing punctuation is two pieces of the pre-tokenizer and is encoded as such.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 #: Words kept by a worker before its cache starts anew (bounds memory, not results).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Closing characters that are a pre-token of their own behind letters; apostrophes and angle brackets are not among them.
 TAIL = ".,!?;:|#$%&*"
 JOIN = 4000
@@ -23,23 +25,46 @@ def default_vocabulary() -> str:
 
 
 class _Places(dict):
-    """word -> place; a word that is new gets the next place."""
+    """string -> place; a string that is new gets the next place."""
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
         return n
 
 
+def _plain(text: str) -> bool:
+    """Only characters up to U+00FF, among which there are no marks to compose."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return True
+
+
+def _lowered(text: str) -> str:
+    """Lower case where that surely changes no id."""
+    return text.lower() if _plain(text) else text
+
+
 class WordEncoder:
-    """encode(texts) -> (ids of all texts on end, number of ids of each)."""
+    """encode(texts) -> (ids of all texts on end, number of ids of each).
+
+    A word is one or two pieces (letters, and what closes them), and a piece is a run of ids in `flat`.
+    """
 
     def __init__(self, path: str | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path or default_vocabulary())
+        #: For letters that are in lower case and composed already: the same model, without the steps that leave them alone.
+        self.bare = Tokenizer.from_file(path or default_vocabulary())
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.model._resize_cache(0)
         vocab = self.tok.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
@@ -47,72 +72,65 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.places, self.words_done = _Places(), 0
-        self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words, self.pieces = _Places(), _Places()
+        self.of_word = np.zeros((0, 2), np.int32)
+        self.starts, self.lens = np.zeros(1, np.int64), np.zeros(1, np.int32)
         self.flat = np.zeros(0, np.uint32)
+        self.pieces[""]  # the first piece is empty
 
     def encode_plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, pieces: list[str]) -> dict[str, list[int]]:
-        """Ids of strings of letters: many are encoded as one text and cut where a piece ends."""
-        out: dict[str, list[int]] = {}
-        for at in range(0, len(pieces), JOIN):
-            part = pieces[at : at + JOIN]
-            ids = self.encode_plain([" ".join(part)])[0]
-            ends = np.flatnonzero(self.closes[ids]) + 1
+    def _add(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens.astype(np.int32)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+
+    def _encode_pieces(self, new: list[str]) -> None:
+        """Strings of letters are encoded many at once and cut where a word ends; if the cuts don't fit, one by one."""
+        for at in range(0, len(new), JOIN):
+            part = new[at : at + JOIN]
+            joined, ends = " ".join(part), []
+            if joined.replace(" ", "").isalpha():
+                tok = self.bare if _plain(joined) and joined == joined.lower() else self.tok
+                ids = np.array(tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+                ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(part):
-                s = 0
-                for p, e in zip(part, ends.tolist(), strict=True):
-                    out[p] = ids[s:e]
-                    s = e
+                self._add(ids, np.diff(ends, prepend=0))
             else:
-                out.update(zip(part, self.encode_plain(part), strict=True))
+                each = self.encode_plain(part)
+                self._add(np.array([x for y in each for x in y], np.int64), np.fromiter(map(len, each), np.int64, len(each)))
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        known = len(self.pieces)
+        out = np.fromiter(map(self.pieces.__getitem__, pieces), np.int32, len(pieces))
+        if len(self.pieces) > known:
+            self._encode_pieces(list(itertools.islice(self.pieces, known, None)))
         return out
 
     def _learn(self, words: list[str]) -> None:
-        split = []
-        for w in words:
-            base = w.rstrip(TAIL)
-            if base.isalpha():
-                split.append((base.lower() if base.isascii() else base, w[len(base) :]))
-            else:
-                split.append((None, w))
-        known: dict[str, list[int]] = {}
-        for b in dict.fromkeys(b for b, _ in split if b):
-            i = self.places.get(b, self.words_done)
-            if i < self.words_done:
-                known[b] = self.flat[self.starts[i] : self.starts[i] + self.lens[i]].tolist()
-            else:
-                known[b] = []
-        known |= self._letters([b for b, x in known.items() if not x])
-        rest = list(dict.fromkeys(t for _, t in split if t))
-        known_rest = dict(zip(rest, self.encode_plain(rest), strict=True))
-        ids = [(known[b] if b else []) + (known_rest[t] if t else []) for b, t in split]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lens.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat])
+        bases = [w.rstrip(TAIL) for w in words]
+        bases = [b if b.isalpha() else "" for b in bases]
+        tails = [w[len(b) :] for w, b in zip(words, bases, strict=True)]
+        first, second = self._places(bases), self._places(tails)
+        self.of_word = np.concatenate([self.of_word, np.stack([first, second], 1)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.places) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
             self.clear()
-        place, counts, found = self.places.__getitem__, np.zeros(len(texts), np.int64), []
+        place, counts, found = self.words.__getitem__, np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts):
-            words = text.replace("\n", " ").replace("\t", " ").split(" ")
+            words = _lowered(text).replace("\n", " ").replace("\t", " ").split(" ")
             counts[i] = len(words)
-            found.append(np.fromiter(map(place, words), np.int64, len(words)))
-        if len(self.places) > self.words_done:
-            new = list(self.places)[self.words_done :]
-            self._learn(new)
-            self.words_done = len(self.places)
-        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+            found.append(np.fromiter(map(place, words), np.int32, len(words)))
+        if len(self.words) > len(self.of_word):
+            self._learn(list(itertools.islice(self.words, len(self.of_word), None)))
+        at = self.of_word[np.concatenate(found)].ravel() if found else np.zeros(0, np.int32)
         lens = self.lens[at]
-        ends = np.cumsum(lens)
+        ends = np.cumsum(lens, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
-        per = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        per = np.concatenate([[0], ends])[np.concatenate([[0], 2 * np.cumsum(counts)])]
         return ids, np.diff(per)
 
 
