@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,26 +34,64 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_root(spark)}/linkweave/{tag}-{uuid.uuid4().hex}"
 
 
+#: By application: folders of tables with weak references to what reads them in the JVM.
+_tables: dict[str, list] = {}
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables of materialize() that no plan reads any more, as the cleaner does with checkpoints."""
+    known = _tables.get(spark.sparkContext.applicationId)
+    if not known:
+        return
+    gc.collect()
+    spark._jvm.System.gc()
+    for item in list(known):
+        path, reader = item
+        if reader.get() is None:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            known.remove(item)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage by a table in the shared folder, which survives lost executors."""
+    """Cut the lineage by a table in the shared folder, which survives lost executors.
+
+    The table goes once nothing that was made of the returned frame is left.
+    """
     spark = df.sparkSession
+    sweep(spark)
     path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _tables.setdefault(spark.sparkContext.applicationId, []).append((path, spark._jvm.java.lang.ref.WeakReference(files)))
+    return out
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers stay for other tasks, and idle ones count too."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow of a function of one batch; `fn` may return None for no rows."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow of a function of one batch; `fn` may return None for no rows; `done` is called at a partition's end."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
+        if done:
+            done()
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -75,6 +115,7 @@ def spread(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(1, -(-rows // per_task))
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a table's size, from its files; nothing is read."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def stored_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of a table's size, from its files; nothing is read. None where it has no idea."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None

@@ -47,7 +47,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
-    cut_docs = common.map_batches(common.doc_columns(docs), cut, "doc_id long, piece int, start long, length long, ids binary")
+    def clear():
+        tokens.encoder(vocabulary).clear()
+
+    cut_docs = common.map_batches(common.doc_columns(docs), cut, "doc_id long, piece int, start long, length long, ids binary", clear)
     return common.materialize(cut_docs.select(F.monotonically_increasing_id().alias("uid"), "*"), "pieces")
 
 

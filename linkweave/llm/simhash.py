@@ -14,7 +14,9 @@ Units return a spanning forest of their links, never all pairs; `components` joi
 `near_duplicates`, the pipeline's stage, asks for shingle similarity (Jaccard of sets of five words, 0.8 or more),
 where fingerprints differ by some ten bits and no blocks of bits are shared. Its buckets are MIN_KEYS min-wise
 shingle hashes instead (a pair at 0.8 shares none of them in 0.2 ** 4 = 0.16 % of cases), its tiles the same with a
-radius of NEAR_RADIUS bits, and each candidate pair is verified by the shingle sets themselves.
+radius of NEAR_RADIUS bits in two fingerprints together, and each candidate pair is verified by the shingle sets
+themselves. At 0.8 two sets differ by 19.4 of the 128 bits, four standard deviations below that radius; unrelated
+ones, of which a common passage brings many into one bucket, by 64, seven of them above it.
 
 Defined results: null, empty and wordless texts have fingerprint zero; fewer words than a shingle are one shingle;
 equal rows are one group; a null doc_id is larger than every other; an empty table gives no rows.
@@ -35,7 +37,7 @@ from linkweave.llm.components import components
 
 SEED = 42
 WORDS, RADIUS = 4, 4
-NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS, MIN_KEYS = 5, 0.8, 20, 4
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS, MIN_KEYS = 5, 0.8, 36, 4
 #: Fingerprints in a tile, and in the squares inside a unit that are skipped or compared at once.
 TILE, SQUARE = 4096, 256
 #: Expected fingerprints in a bucket that the number of blocks is chosen for.
@@ -107,14 +109,15 @@ def block_rows(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.select("node", "fp", F.explode(keys).alias("k")).select("node", "fp", "k.j", "k.v")
 
 
-def units(rows: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def units(rows: DataFrame, radius: int, tile: int = TILE, lanes: tuple[str, ...] = ("fp",)) -> DataFrame:
     """`rows` with the column unit: buckets (j, v) of two rows or more, the large ones as pairs of tiles."""
+    carried = [c for c in rows.columns if c not in ("j", "v")]
     sizes = common.materialize(rows.groupBy("j", "v").count().where("count > 1"), "buckets")
     large = sizes.where(F.col("count") > tile).select("j", "v")
     small = rows.join(sizes.where(F.col("count") <= tile).select("j", "v"), ["j", "v"], "left_semi").withColumn("unit", F.lit(""))
     if not large.head(1):
         return small
-    pop = F.bit_count("fp")
+    pop = sum((F.bit_count(c) for c in lanes[1:]), F.bit_count(lanes[0]))
     big = rows.join(large, ["j", "v"], "left_semi").withColumn("p", pop)
     tiles = big.groupBy("j", "v", "p").count().select("j", "v", "p", F.ceil(F.col("count") / tile).cast("int").alias("n"))
     tiles = common.materialize(tiles, "tiles")
@@ -123,10 +126,10 @@ def units(rows: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     partners = near.groupBy("j", "v", "p").agg(F.first("n").alias("n"), F.collect_list(F.struct("p2", "n2")).alias("o"))
     dealt = big.join(partners, ["j", "v", "p"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     to = F.flatten(F.transform("o", lambda o: F.transform(F.sequence(F.lit(0), o["n2"] - 1), lambda c: F.struct(o["p2"].alias("p"), c.alias("c")))))
-    dealt = dealt.select("j", "v", "node", "fp", F.struct("p", "c").alias("own"), F.explode(to).alias("to"))
+    dealt = dealt.select("j", "v", *carried, F.struct("p", "c").alias("own"), F.explode(to).alias("to"))
     lo, hi = F.least("own", "to"), F.greatest("own", "to")
     name = F.concat_ws(":", lo["p"], lo["c"], hi["p"], hi["c"])
-    return small.unionByName(dealt.select("j", "v", "node", "fp", name.alias("unit")))
+    return small.unionByName(dealt.select("j", "v", *carried, name.alias("unit")))
 
 
 class Forest:
@@ -148,50 +151,76 @@ class Forest:
                 self.up = up
 
 
-def close_pairs(fp: np.ndarray, radius: int):
-    """Places (a, b) of fingerprints within the radius, square by square; `fp` is in order of population count."""
-    pop = np.bitwise_count(fp).astype(np.int64)
-    for s in range(0, len(fp), SQUARE):
-        e = min(len(fp), s + SQUARE)
-        for t in range(s, len(fp), SQUARE):
-            if pop[t] - pop[e - 1] > radius:
+class Prints:
+    """Fingerprints of one or more lanes of 64 bits, and sizes whose ratio must not fall below `least`."""
+
+    def __init__(self, lanes: list[np.ndarray], radius: int, sizes: np.ndarray | None = None, least: float = 0.0):
+        self.lanes, self.radius, self.sizes, self.least = lanes, radius, sizes, least
+
+    def __len__(self) -> int:
+        return len(self.lanes[0])
+
+    def take(self, at) -> Prints:
+        return Prints([x[at] for x in self.lanes], self.radius, None if self.sizes is None else self.sizes[at], self.least)
+
+    def population(self) -> np.ndarray:
+        return sum(np.bitwise_count(x).astype(np.int64) for x in self.lanes)
+
+    def close(self, a, b) -> np.ndarray:
+        """Whether prints at places (or slices, broadcast) a and b are within the radius."""
+        apart = np.bitwise_count(self.lanes[0][a] ^ self.lanes[0][b])
+        for x in self.lanes[1:]:
+            apart = apart + np.bitwise_count(x[a] ^ x[b])
+        near = apart <= self.radius
+        if self.sizes is not None:
+            m, n = self.sizes[a], self.sizes[b]
+            near &= np.minimum(m, n) >= self.least * np.maximum(m, n)
+        return near
+
+
+def close_pairs(prints: Prints):
+    """Places (a, b) of close fingerprints, square by square; they are in order of population count."""
+    pop, n = prints.population(), len(prints)
+    for s in range(0, n, SQUARE):
+        e = min(n, s + SQUARE)
+        rows = np.arange(s, e)[:, None]
+        for t in range(s, n, SQUARE):
+            if pop[t] - pop[e - 1] > prints.radius:
                 break
-            x, y = fp[s:e], fp[t : t + SQUARE]
-            a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
+            a, b = np.nonzero(prints.close(rows, np.arange(t, min(n, t + SQUARE))[None, :]))
             a, b = a + s, b + t
             if len(a := a[keep := a < b]):
                 yield a, b[keep]
 
 
-def _forest_of(fp: np.ndarray, radius: int) -> np.ndarray:
+def _forest_of(prints: Prints) -> np.ndarray:
     """Root of each place within one unit; the root is a place."""
-    order = np.argsort(np.bitwise_count(fp), kind="stable")
-    forest = Forest(len(fp))
-    for a, b in close_pairs(fp[order], radius):
+    order = np.argsort(prints.population(), kind="stable")
+    forest = Forest(len(prints))
+    for a, b in close_pairs(prints.take(order)):
         forest.join(a, b)
-    out = np.empty(len(fp), np.int64)
+    out = np.empty(len(prints), np.int64)
     out[order] = order[forest.up]
     return out
 
 
-def unit_roots(key: np.ndarray, fp: np.ndarray, radius: int, small: int = 48) -> np.ndarray:
+def unit_roots(key: np.ndarray, prints: Prints, small: int = 48) -> np.ndarray:
     """Root of every row within its unit; `key` numbers the units, rows of a unit stand together."""
     starts = np.flatnonzero(np.append([True], key[1:] != key[:-1]))
     sizes = np.diff(np.append(starts, len(key)))
     root = np.arange(len(key))
-    few = np.repeat(sizes <= small, sizes)
-    at = np.flatnonzero(few)
-    k, f = key[at], fp[at]
+    at = np.flatnonzero(np.repeat(sizes <= small, sizes))
+    k, own = key[at], prints.take(at)
     found = []
     for d in range(1, int(sizes[sizes <= small].max(initial=1))):  # all units of few rows at once
-        hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= radius))
+        hit = np.flatnonzero((k[d:] == k[:-d]) & own.close(slice(d, None), slice(None, -d)))
         found.append((at[hit], at[hit + d]))
     if found:
         forest = Forest(len(key))
         forest.join(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
         root = forest.up
     for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        root[s : s + n] = s + _forest_of(fp[s : s + n], radius)
+        root[s : s + n] = s + _forest_of(prints.take(slice(s, s + n)))
     return root
 
 
@@ -214,6 +243,7 @@ def by_unit(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
                 yield from fn(t.slice(0, cut))
         if held is not None and held.num_rows:
             yield from fn(held)
+        common.release()
 
     return dealt.mapInArrow(run, schema)
 
@@ -235,7 +265,7 @@ def links_within(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
 
     def run(t: pa.Table):
         node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-        root = unit_roots(_numbered(t, UNIT), fp, radius)
+        root = unit_roots(_numbered(t, UNIT), Prints([fp], radius))
         at = np.flatnonzero(root != np.arange(len(root)))
         if len(at):
             yield common.rebatch(a=pa.array(node[at]), b=pa.array(node[root[at]]))
@@ -264,76 +294,93 @@ def few_or_shuffled(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+LANES = ("fp", "fp2")
+
+
+def _second(h: np.ndarray) -> np.ndarray:
+    """Hashes for another fingerprint of the same shingles."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def _signatures(rows: DataFrame, words: int) -> DataFrame:
-    """uid, doc_id, key (of the set of shingles), fp and min-wise hashes of every row of `rows` (uid, doc_id, text)."""
+    """uid, doc_id, key (of the set of shingles), fingerprints, size and min-wise hashes of every row of `rows` (uid, doc_id, text)."""
 
     def run(batch):
-        keys, fps, mins = [], [], []
+        keys, fps, seconds, sizes, mins = [], [], [], [], []
         for t in common.texts_of(batch):
             h = np.unique(shingle_hashes(t, words))
             keys.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
             fps.append(fingerprint(h))
+            seconds.append(fingerprint(_second(h)))
+            sizes.append(len(h))
             mins.append(signed((h[:, None] * _ODD[None, :MIN_KEYS]).min(axis=0)) if len(h) else np.zeros(MIN_KEYS, np.int64))
-        flat = pa.array(np.concatenate(mins))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mins) + 1) * MIN_KEYS, pa.int32()), flat)
-        return common.rebatch(uid=batch.column(2), doc_id=batch.column(0), key=pa.array(keys, pa.binary()), fp=pa.array(signed(fps)), mins=lists)
-
-    return common.map_batches(rows, run, "uid long, doc_id long, key binary, fp long, mins array<long>")
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mins) + 1) * MIN_KEYS, pa.int32()), pa.array(np.concatenate(mins)))
+        return common.rebatch(uid=batch.column(2), doc_id=batch.column(0), key=pa.array(keys, pa.binary()), fp=pa.array(signed(fps)), fp2=pa.array(signed(seconds)), size=pa.array(sizes, pa.int64()), mins=lists)
+
+    return common.map_batches(rows, run, "uid long, doc_id long, key binary, fp long, fp2 long, size long, mins array<long>")
+
+
+def _prints(t: pa.Table, radius: int, similarity: float) -> Prints:
+    return Prints([t.column(c).to_numpy().view(np.uint64) for c in LANES], radius, t.column("size").to_numpy(), similarity)
+
+
+def _spanned(prints: Prints, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Root of each place within one unit by verified links; a pair that is joined already is not verified again."""
+    order = np.argsort(prints.population(), kind="stable")
+    sizes = np.array([len(sets[i]) for i in order])
+    flat, starts = np.concatenate([sets[i] for i in order]), np.cumsum(sizes) - sizes
+    _, flat = np.unique(flat, return_inverse=True)
+    mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
+    forest = Forest(len(order))
+    for a, b in close_pairs(prints.take(order)):
+        for x in np.unique(a).tolist():
+            y = b[a == x]
+            y = y[forest.up[y] != forest.up[x]]
+            if not len(y):
+                continue
+            own = flat[starts[x] : starts[x] + sizes[x]]
+            mark[own] = True
+            lens = sizes[y]
+            ends = np.cumsum(lens)
+            shared = mark[flat[np.repeat(starts[y] - (ends - lens), lens) + np.arange(int(ends[-1]))]]
+            both = np.add.reduceat(shared.astype(np.int64), ends - lens)
+            mark[own] = False
+            y = y[both >= similarity * (sizes[x] + lens - both)]
+            forest.join(np.full(len(y), x), y)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[forest.up]
+    return out
 
 
 def _verified(candidates: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Links between rows of a unit (keys UNIT and part) whose shingle sets are similar enough."""
 
-    def of_unit(node, fp, sets) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(np.bitwise_count(fp), kind="stable")
-        sizes = np.array([len(sets[i]) for i in order])
-        flat, starts = np.concatenate([sets[i] for i in order]), np.cumsum(sizes) - sizes
-        _, flat = np.unique(flat, return_inverse=True)
-        mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
-        forest = Forest(len(order))
-        for a, b in close_pairs(fp[order], radius):
-            for x in np.unique(a).tolist():
-                y = b[a == x]
-                y = y[forest.up[y] != forest.up[x]]
-                y = y[np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x])]
-                if not len(y):
-                    continue
-                own = flat[starts[x] : starts[x] + sizes[x]]
-                mark[own] = True
-                lens = sizes[y]
-                ends = np.cumsum(lens)
-                shared = mark[flat[np.repeat(starts[y] - (ends - lens), lens) + np.arange(int(ends[-1]))]]
-                both = np.add.reduceat(shared.astype(np.int64), ends - lens)
-                mark[own] = False
-                y = y[both >= similarity * (sizes[x] + lens - both)]
-                forest.join(np.full(len(y), x), y)
-        at = np.flatnonzero(forest.up != np.arange(len(order)))
-        return node[order[at]], node[order[forest.up[at]]]
-
     def run(t: pa.Table):
         key = _numbered(t, [*UNIT, "part"])
-        node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        node, prints = t.column("node").to_numpy(), _prints(t, radius, similarity)
         sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
         starts = np.append(np.flatnonzero(np.append([True], key[1:] != key[:-1])), len(key))
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            a, b = of_unit(node[s:e], fp[s:e], sets[s:e])
-            if len(a):
-                yield common.rebatch(a=pa.array(a), b=pa.array(b))
+            root = _spanned(prints.take(slice(s, e)), sets[s:e], similarity)
+            at = np.flatnonzero(root != np.arange(e - s))
+            if len(at):
+                yield common.rebatch(a=pa.array(node[s + at]), b=pa.array(node[s + root[at]]))
 
     return by_unit(candidates, [*UNIT, "part"], run, "a long, b long")
 
 
-def _candidates(rows: DataFrame, radius: int) -> DataFrame:
-    """Rows of `rows` (node, fp, j, v) with another fingerprint within the radius in their unit, and their part of it."""
+def _candidates(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Rows of `rows` (node, LANES, size, j, v) with a close one in their unit, and their part of it."""
 
     def run(t: pa.Table):
-        node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-        root = unit_roots(_numbered(t, UNIT), fp, radius)
+        node = t.column("node").to_numpy()
+        root = unit_roots(_numbered(t, UNIT), _prints(t, radius, similarity))
         at = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
         if len(at):
-            yield common.rebatch(**{k: t.column(k).take(pa.array(at)).combine_chunks() for k in (*UNIT, "node", "fp")}, part=pa.array(node[root[at]]))
+            yield common.rebatch(**{k: t.column(k).take(pa.array(at)).combine_chunks() for k in (*UNIT, "node", *LANES, "size")}, part=pa.array(node[root[at]]))
 
-    return by_unit(units(rows, radius), UNIT, run, "j int, v long, unit string, node long, fp long, part long")
+    return by_unit(units(rows, radius, lanes=LANES), UNIT, run, "j int, v long, unit string, node long, fp long, fp2 long, size long, part long")
 
 
 def near_duplicates(rows: DataFrame, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
@@ -345,10 +392,10 @@ def near_duplicates(rows: DataFrame, words: int = NEAR_WORDS, similarity: float
     rows = rows.select("doc_id", "text", "uid")
     sig = common.materialize(_signatures(rows, words), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("best")
-    nodes = sig.groupBy("key").agg(F.min("uid").alias("node"), F.min("fp").alias("fp"), F.min("mins").alias("mins"), best)
-    nodes = common.materialize(nodes, "nodes")
-    keyed = nodes.select("node", "fp", F.posexplode("mins").alias("j", "v"))
-    candidates = common.materialize(_candidates(keyed, NEAR_RADIUS), "candidates")
+    same = [F.min(c).alias(c) for c in (*LANES, "size", "mins")]  # equal for equal sets
+    nodes = common.materialize(sig.groupBy("key").agg(F.min("uid").alias("node"), *same, best), "nodes")
+    keyed = nodes.select("node", *LANES, "size", F.posexplode("mins").alias("j", "v"))
+    candidates = common.materialize(_candidates(keyed, NEAR_RADIUS, similarity), "candidates")
     wanted = few_or_shuffled(candidates.select(F.col("node").alias("uid")).distinct())
 
     def sets(batch):

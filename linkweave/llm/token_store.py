@@ -205,7 +205,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
 
     spark = docs.sparkSession
     rows = common.doc_columns(docs)
-    parts = common.spread(spark, common.stored_bytes(docs), PARTITION_BYTES)
+    size = common.stored_bytes(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) if size is None else common.spread(spark, size, PARTITION_BYTES)
     order = rows.withColumn("h", F.xxhash64("text"))
     order = order.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
@@ -239,6 +240,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
                     yield close()
         if size:
             yield close()
+        enc.clear()
+        common.release()
 
     shards = order.mapInArrow(run, "part int, shard int, path string, n_docs long, n_tokens long, start long")
     return common.materialize(shards, "shards")
