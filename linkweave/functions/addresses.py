@@ -30,47 +30,69 @@ def cleaned(s: Column) -> Column:
     return F.regexp_replace(s, v.DOTTED, "$1")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body speaks of it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def segments(s: Column) -> Column:
     """Per segment: landmark, words, and whether it is the last that is not blank."""
-    parts = F.split(cleaned(s), "[,;\\n]", -1)
-    filled = F.filter(F.transform(parts, lambda p, i: F.when(F.trim(p) != "", i)), lambda i: i.isNotNull())
-    last = F.coalesce(F.array_max(filled), F.lit(-1))
 
-    def one(p: Column, i: Column) -> Column:
-        landmark = F.regexp_extract(p, v.LANDMARK, 0)
-        kept = F.regexp_replace(p, v.LANDMARK, "")  # a landmark reaches to the segment's end
-        return F.struct(landmark.alias("landmark"), words(kept).alias("words"), (i == last).alias("last"))
+    def last_filled(parts: Column) -> Column:
+        filled = F.filter(F.transform(parts, lambda p, i: F.when(F.trim(p) != "", i)), lambda i: i.isNotNull())
+        return F.struct(parts.alias("parts"), F.coalesce(F.array_max(filled), F.lit(-1)).alias("last"))
 
-    return F.transform(parts, one)
+    def every(known: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            landmark = F.regexp_extract(p, v.LANDMARK, 0)
+            kept = F.regexp_replace(p, v.LANDMARK, "")  # a landmark reaches to the segment's end
+            return F.struct(landmark.alias("landmark"), words(kept).alias("words"), (i == known["last"]).alias("last"))
 
+        return F.transform(known["parts"], one)
 
-def _folded(segs: Column) -> Column:
-    """toks, strong (regions of segments that are nothing else) and medium (a code that ends one)."""
+    return bound(bound(F.split(cleaned(s), "[,;\\n]", -1), last_filled), every)
+
+
+def described(segs: Column) -> Column:
+    """Per segment what the fold needs of it, computed once: canonical words, numbers, and the regions it may show."""
     alias = literal_map(v.REGION_ALIAS)
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("toks"), empty.alias("strong"), F.lit("").alias("medium"))
 
-    def step(acc: Column, seg: Column) -> Column:
+    def one(seg: Column) -> Column:
         ws = seg["words"]
         digits, alpha = F.filter(ws, lambda w: w.rlike(DIGITS)), F.filter(ws, lambda w: ~w.rlike(DIGITS))
-        postal = (F.size(digits) == 1) & F.coalesce(F.length(F.try_element_at(digits, F.lit(1))).isin(5, 6), F.lit(False))
-        whole = F.try_element_at(alias, F.array_join(alpha, " "))
-        strong = whole.isNotNull() & ((F.size(digits) == 0) | postal)
         last = F.when(F.size(alpha) >= 2, F.try_element_at(alpha, F.lit(-1))).otherwise("")
-        code = F.try_element_at(alias, last)
-        medium = F.when(code.isNotNull() & (F.length(last) <= 3) & (seg["last"] | postal), code).otherwise(acc["medium"])
+        return F.struct(
+            ws.alias("words"),
+            F.transform(ws, lambda w: F.when(w.rlike(DIGITS), number(w)).otherwise(lookup(v.ADDRESS, w))).alias("canon"),
+            F.transform(digits, number).alias("numbers"),
+            ((F.size(digits) == 1) & F.coalesce(F.length(F.try_element_at(digits, F.lit(1))).isin(5, 6), F.lit(False))).alias("postal"),
+            F.try_element_at(alias, F.array_join(alpha, " ")).alias("whole"),
+            last.alias("ending"),
+            F.try_element_at(alias, last).alias("code"),
+            seg["last"].alias("last"),
+        )
+
+    return F.transform(segs, one)
 
-        def word(w: Column) -> Column:
-            promoted = (w == last) & (medium != "") & F.coalesce(F.try_element_at(alias, w) == medium, F.lit(False))
-            return F.when(w.rlike(DIGITS), number(w)).when(promoted, medium).otherwise(lookup(v.ADDRESS, w))
 
+def _folded(segs: Column) -> Column:
+    """toks, strong (regions of segments that are nothing else) and medium (a code that ends one)."""
+    empty = F.array().cast("array<string>")
+    start = F.struct(empty.alias("toks"), empty.alias("strong"), F.lit("").alias("medium"))
+
+    def step(acc: Column, seg: Column) -> Column:
+        strong = seg["whole"].isNotNull() & ((F.size(seg["numbers"]) == 0) | seg["postal"])
+        found = seg["code"].isNotNull() & (F.length(seg["ending"]) <= 3) & (seg["last"] | seg["postal"])
+        medium = F.when(found, seg["code"]).otherwise(acc["medium"])
+        promoted = (medium != "") & F.coalesce(seg["code"] == medium, F.lit(False))
+        plain = F.when(promoted, F.transform(seg["words"], lambda w, i: F.when(w == seg["ending"], seg["code"]).otherwise(F.get(seg["canon"], i)))).otherwise(seg["canon"])
         as_region = F.struct(
-            F.concat(acc["toks"], F.transform(digits, number), F.array(whole)).alias("toks"),
-            F.array_append(acc["strong"], merged(whole)).alias("strong"),
+            F.concat(acc["toks"], seg["numbers"], F.array(seg["whole"])).alias("toks"),
+            F.array_append(acc["strong"], merged(seg["whole"])).alias("strong"),
             acc["medium"].alias("medium"),
         )
-        as_words = F.struct(F.concat(acc["toks"], F.transform(ws, word)).alias("toks"), acc["strong"].alias("strong"), medium.alias("medium"))
-        return F.when(F.size(ws) == 0, acc).when(strong, as_region).otherwise(as_words)
+        as_words = F.struct(F.concat(acc["toks"], plain).alias("toks"), acc["strong"].alias("strong"), medium.alias("medium"))
+        return F.when(F.size(seg["words"]) == 0, acc).when(strong, as_region).otherwise(as_words)
 
     return F.aggregate(segs, start, step)
 
@@ -95,7 +117,7 @@ def region_names_to_codes(s: Column) -> tuple[Column, Column]:
 
 def with_address_fields(df, latin: str):
     """`df` with clean, alpha, numbers, postal, landmark and region of the lower-case Latin address in column `latin`."""
-    out = df.withColumn("_segs", segments(F.col(latin))).withColumn("_fold", _folded(F.col("_segs")))
+    out = df.withColumn("_segs", segments(F.col(latin))).withColumn("_seen", described(F.col("_segs"))).withColumn("_fold", _folded(F.col("_seen")))
     text = F.array_join(F.filter("_fold.toks", lambda t: t != ""), " ")
     out = out.withColumn("_text", text)
     clean, weak = region_names_to_codes(F.col("_text"))
@@ -111,4 +133,4 @@ def with_address_fields(df, latin: str):
         "addr_landmark": F.trim(collapse_doubles(F.regexp_replace(landmarks, "[^a-z0-9]+", " "))),
         "region": F.when(F.size("_fold.strong") > 0, strong).otherwise(merged(soft)),
     })
-    return out.drop("_segs", "_fold", "_text", "_weak")
+    return out.drop("_segs", "_seen", "_fold", "_text", "_weak")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """What several queries of a session share is computed once; it spills to disk and survives lost executors by lineage."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[key]
+
+
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and parts as entities and candidates: s1_id, cand_id, source, prob and the label y, a row a pair."""
     rows = table(spark, sf_dir, "lineitem").select(

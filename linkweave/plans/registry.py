@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from linkweave.plans import decoding, records
+from linkweave.plans import decoding, linking, modelling, records
 
-_MODULES = (decoding, records)
+_MODULES = (decoding, records, linking, modelling)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

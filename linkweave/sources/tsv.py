@@ -34,8 +34,8 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
 
 def links(wide: DataFrame) -> DataFrame:
     """s1_id and cand_id of each link of a table with comma-joined matched_entity_ids; singletons have no row."""
-    cand = F.explode(F.split("matched_entity_ids", ","))
-    return wide.select(F.col("source1_entity_id").alias("s1_id"), F.trim(cand).alias("cand_id")).where("cand_id <> ''")
+    every = wide.select(F.col("source1_entity_id").alias("s1_id"), F.explode(F.split("matched_entity_ids", ",")).alias("cand_id"))
+    return every.withColumn("cand_id", F.trim("cand_id")).where("cand_id <> ''")
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
