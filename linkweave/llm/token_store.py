@@ -240,8 +240,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
                     yield close()
         if size:
             yield close()
-        enc.clear()
-        common.release()
 
     shards = order.mapInArrow(run, "part int, shard int, path string, n_docs long, n_tokens long, start long")
     return common.materialize(shards, "shards")
