@@ -113,8 +113,24 @@ def viterbi(token: str, model: CharModel) -> str:
     return " ".join("".join(reversed(out)).split())
 
 
+#: Classes of the characters up to U+FFFF: letters, digits or letters, signs of SUSPECT before a letter, and behind one.
+_ALPHA = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
+_ALNUM = np.fromiter((chr(i).isalnum() for i in range(1 << 16)), bool, 1 << 16)
+_BEFORE, _BEHIND = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+_BEFORE[[ord(c) for c in "0123456789@$!|+€£*._~^-"]] = True
+_BEHIND[[ord(c) for c in "0123456789@$|+€"]] = True
+
+
+def codes(text: str) -> np.ndarray:
+    """Code points with a blank at either end; those above U+FFFF count as U+FFFF."""
+    return np.minimum(np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+
+
 class Restorer:
-    """restore(text): lower case, with disguised tokens read through the channel; keeps what it has read."""
+    """restore(text): lower case, with disguised tokens read through the channel; keeps what it has read.
+
+    Where a disguise may be is found by classes of neighbouring characters; only the tokens there are looked at.
+    """
 
     def __init__(self, model: CharModel):
         self.model, self.known = model, {}
@@ -125,39 +141,57 @@ class Restorer:
             if len(self.known) > TOKENS_KEPT:
                 self.known.clear()
             core = w.strip(".,;:?()[]{}\"'“”«»")
-            found = None if w.isalpha() and not SUSPECT.search(w) else core if SUSPECT.search(core) else None
-            self.known[w] = found and viterbi(found, self.model)
+            self.known[w] = viterbi(core, self.model) if SUSPECT.search(core) else None
         return self.known[w]
 
     def restore(self, text: str) -> str:
         text = text.lower()
-        text = SPACED.sub(lambda m: viterbi(re.sub(r"[ .*_-]", "", m[0]), self.model), text)
-        words = text.split()
-        changed = {w: r for w in set(words) if (r := self.token(w)) is not None}
-        return " ".join([changed.get(w, w) for w in words]) if changed else text
+        code = codes(text)
+        single = _ALNUM[code]
+        alone = np.flatnonzero(single[1:-1] & ~single[:-2] & ~single[2:])
+        if len(alone) > 3 and (alone[3:] - alone[:-3] <= 9).any():  # four characters, each with one or two signs between
+            text = SPACED.sub(lambda m: viterbi(re.sub(r"[ .*_-]", "", m[0]), self.model), text)
+            code = codes(text)
+        letter = _ALPHA[code]
+        sign = (_BEFORE[code[:-1]] & letter[1:]) | (letter[:-1] & _BEHIND[code[1:]])
+        sign[:-1] |= (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:]) & letter[:-2]
+        places = np.flatnonzero(sign)
+        if not len(places):
+            return text
+        blank = np.array([True, *map(str.isspace, text), True])
+        ends = np.flatnonzero(blank)
+        right = np.searchsorted(ends, places, "right")
+        spans = {(int(ends[r - 1]), int(ends[r])) for r in right.tolist()}
+        found = {text[a : b - 1] for a, b in spans}
+        changed = {w: r for w in found if (r := self.token(w)) is not None}
+        return " ".join([changed.get(w, w) for w in text.split()]) if changed else text
 
 
-_ALPHA = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(max(SIZES))]
 
 
-def buckets(text: str) -> np.ndarray:
-    """Distinct buckets of a restored text's windows."""
-    code = np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _ALPHA[np.minimum(code, 0xFFFF)]
+def windows(text: str) -> np.ndarray:
+    """The bucket of each window of a restored text."""
+    code = codes(text)
+    letter = _ALPHA[code]
     code = np.where(letter, code, 32).astype(np.uint64)
     gaps = np.append([0], np.cumsum(~letter))
-    found = []
+    found = [np.zeros(0, np.uint64)]
     for size in SIZES:
         n = len(code) - size + 1
         if n < 1:
             continue
-        at = np.flatnonzero(gaps[size - 1 : size - 1 + n] == gaps[1 : n + 1])
-        h = np.full(len(at), size, np.uint64)
+        h = np.full(n, size, np.uint64)
         for k in range(size):
-            h += code[at + k] * _POWERS[k]
+            h += code[k : k + n] * _POWERS[k]
+        h = h[gaps[size - 1 : size - 1 + n] == gaps[1 : n + 1]]
         found.append(((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS))
-    return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
+    return np.concatenate(found).astype(np.int64)
+
+
+def buckets(text: str) -> np.ndarray:
+    """Distinct buckets of a restored text's windows."""
+    return np.unique(windows(text))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -264,8 +298,8 @@ def evidence(docs: DataFrame, model: CharModel, weights: np.ndarray) -> DataFram
     """doc_id, restored text's evidence (FEATURES) and how many tokens were read anew, of every row."""
 
     def one(text: str) -> tuple[float, ...]:
-        at = buckets(restorer(model).restore(text))
-        w = weights[at]
+        at = windows(restorer(model).restore(text))
+        w = weights[np.unique(at[weights[at] > 0])]
         total = float(w.sum())
         return float(w.max(initial=0.0)), math.log1p(total), total / math.sqrt(1 + len(at))
 
