@@ -44,7 +44,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 AT_WORDS, DOT_WORDS = "at|arroba", "dot|punto|punkt|point"
 
 #: Least digits that are spelled in a row for the run to be read as digits.
-SPELLED_RUN = 4
+SPELLED_RUN = 3
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -64,13 +64,18 @@ def _homoglyphs() -> dict[int, str]:
 HOMOGLYPHS = _homoglyphs()
 STRANGE = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + INVISIBLE + "]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-_RUN = re.compile(rf"(?:\bplus[\s-]{{1,2}})?\b(?:(?:double|triple)\s)?(?:{_WORD})(?:[\s,.-]{{1,2}}(?:(?:double|triple)\s)?(?:{_WORD})){{{SPELLED_RUN - 1},}}\b", re.IGNORECASE)
+_RUN = re.compile(rf"(?:\bplus[\s-]{{1,2}})?\b(?:(?:double|triple)\s)?(?:{_WORD})(?:[\s,.-]{{1,3}}(?:(?:double|triple)\s)?(?:{_WORD})){{{SPELLED_RUN - 1},}}\b", re.IGNORECASE)
 _SPELLED_WORD = re.compile(rf"(double|triple)\s|({_WORD})|(plus)", re.IGNORECASE)
 _OPEN, _CLOSE = r"\s{0,2}[\[({<]\s?", r"\s?[\])}>]\s{0,2}"
-_DOT = rf"(?:{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}|(?<=[a-z0-9])\s{{1,2}}(?:{DOT_WORDS})\s{{1,2}}(?=[a-z]{{2}}))"
-_AT = rf"(?:{_OPEN}(?:{AT_WORDS}|@){_CLOSE}|(?<=[a-z0-9])\s{{1,2}}(?:{AT_WORDS})\s{{1,2}}(?=[a-z0-9-]+{_DOT}))"
-_DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
-_DISGUISED = re.compile(rf"\b(?:{DOT_WORDS})\b|[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]", re.IGNORECASE)
+_DOT = rf"(?:{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}|(?<=[a-z0-9])(?:\s{{1,2}}(?:{DOT_WORDS})\s{{1,2}}|[_-](?:{DOT_WORDS})[_-])(?=[a-z]{{2}}|[0-9]))"
+_AT = rf"(?:{_OPEN}(?:{AT_WORDS}|@){_CLOSE}|(?<=[a-z0-9])(?:\s{{1,2}}(?:{AT_WORDS})\s{{1,2}}|[_-](?:{AT_WORDS})[_-])(?=[a-z0-9-]+?{_DOT}))"
+#: Without any other disguise, `at` before a domain counts only behind a token that looks like a mailbox.
+_BARE_AT = rf"(?<=[a-z0-9])\s{{1,2}}(?:{AT_WORDS})\s{{1,2}}(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{{2}})"
+_DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<bare>{_BARE_AT})", re.IGNORECASE)
+#: Cheap signs of a disguise, on lower case.
+_BRACKETED = re.compile(rf"[\[({{<]\s?(?:{AT_WORDS}|@|\.)\s?[\])}}>]")
+_AT_DOMAIN = re.compile(rf"\s(?:{AT_WORDS})\s{{1,2}}[a-z0-9-]+\.[a-z0-9]")
+_MAILBOX = re.compile(r"(?:[a-z0-9%+]+[._-])+[a-z0-9%+]+$|[a-z]+[0-9]+$", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -159,7 +164,8 @@ def undisguised(text: str) -> tuple[Tracked | None, list[tuple[int, int]]]:
     """The text without disguises, or None where it has none; and the runs of digits that were spelled."""
     strange = not text.isascii() and STRANGE.search(text) is not None
     low = text if text.islower() else text.lower()
-    dots = ("dot" in low or "pun" in low or "point" in low or "at" in low or "arroba" in low or "@" in low) and _DISGUISED.search(text) is not None
+    hinted = any(w in low for w in DOT_WORDS.split("|")) or _BRACKETED.search(low) is not None or _AT_DOMAIN.search(low) is not None
+    dots = hinted and _DISGUISE.search(text) is not None
     spelled = _RUN.search(text) is not None
     if not (strange or dots or spelled):
         return None, []
@@ -168,7 +174,10 @@ def undisguised(text: str) -> tuple[Tracked | None, list[tuple[int, int]]]:
         t.text = t.text.translate(HOMOGLYPHS)
         t.replace([(i, i + 1, "") for i, c in enumerate(t.text) if c in INVISIBLE])
     runs = _spelled(t) if spelled or strange else []
-    edits = [(*m.span(), "@" if m["at"] else ".") for m in _DISGUISE.finditer(t.text)] if dots or strange else []
+    edits = []
+    for m in _DISGUISE.finditer(t.text) if dots or strange else ():
+        if m["bare"] is None or _MAILBOX.search(t.text[max(0, m.start() - 64) : m.start()].rpartition(" ")[2]):
+            edits.append((*m.span(), "." if m["dot"] else "@"))
     if edits:
         cuts = np.array([a for a, _, _ in edits])
         gone = np.append([0], np.cumsum([b - a - 1 for a, b, _ in edits]))
