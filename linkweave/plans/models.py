@@ -170,6 +170,8 @@ def levels(pairs: DataFrame, features: list[str], entities: DataFrame, countries
 def leave_one_out(learner: Learner, pairs: DataFrame, column: str = "prob") -> DataFrame:
     """Scores of each country's pairs by a learner that never saw the country; `pairs` has country."""
     names = sorted(r[0] for r in pairs.select("country").distinct().collect())  # a fit for each
+    if len(names) < 2:
+        raise ValueError(f"nothing is left to learn from without {names}")
     parts = [learner.predict(learner.fit(pairs.where(F.col("country") != c)), pairs.where(F.col("country") == c), column) for c in names]
     out = parts[0]
     for p in parts[1:]:
