@@ -192,7 +192,7 @@ class Engine:
         per = self.spark.read.parquet(f"{self.s.artifact_dir}/frames/train_f05").select("s1_id", "country")
         records = self.records("train").where("source <> 1").select("entity_id", "name_core", "addr_clean", "addr_numbers")
         truth = self.truth("train").join(per, "s1_id", "left_semi")
-        out, rows = models.levels(data, features.feature_names(), per, per, truth, records, max(2, self.s.rounds // 2))
+        out, rows = models.levels(data, features.feature_names(), per, per, truth, records, max(2, self.s.rounds // 2), self._table)
         self._table(out.select(*models.KEY, "prob"), "stack_scored")
         self._save("stack", {"levels": rows})
         return rows

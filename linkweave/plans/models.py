@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -101,7 +102,15 @@ class Learner:
     def fit(self, df: DataFrame, rounds: int | None = None, validate: bool = False) -> PipelineModel:
         names = [f"_f_{c}" for c in self.features] + [f"_m_{c}" for c in self.features]
         stages = [VectorAssembler(inputCols=names, outputCol="features"), self.classifier(rounds, validate)]
-        return Pipeline(stages=stages).fit(self.inputs(df).withColumn("y", F.col("y").cast("double")))
+        extra = ["_valid"] if validate else []
+        rows = self.inputs(df).withColumn("y", F.col("y").cast("double")).select(*KEY, "y", *names, *extra)
+        # boosting zips its errors with the rows: their partitions and order must be the same in every pass
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, *KEY).sortWithinPartitions(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return Pipeline(stages=stages).fit(rows)
+        finally:
+            rows.unpersist()
 
     def predict(self, model: PipelineModel, df: DataFrame, column: str = "prob") -> DataFrame:
         scored = model.transform(self.inputs(df)).withColumn(column, vector_to_array("probability")[1])
@@ -132,24 +141,26 @@ def cross_validate(learner: Learner, pairs: DataFrame, folds: int = 4, column: s
     return out, max(1, int(sum(kept) / folds * 1.1))
 
 
-def levels(pairs: DataFrame, features: list[str], entities: DataFrame, countries: DataFrame, truth: DataFrame, records: DataFrame, rounds: int = 10) -> tuple[DataFrame, list[dict]]:
+def levels(pairs: DataFrame, features: list[str], entities: DataFrame, countries: DataFrame, truth: DataFrame, records: DataFrame, rounds: int = 10, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, list[dict]]:
     """The stack: learners of level 1 with mean logit, level 2 on it and on siblings; each level must be accepted.
 
     `pairs` has KEY, source, y, prob (level 0), first_num_equal and the features. Returns the pairs with prob of the
-    last accepted level and the ablation. Level 2 always sees the mean, accepted or not.
+    last accepted level and the ablation. Level 2 always sees the mean, accepted or not. `keep` writes a level's
+    frame as a table and reads it again.
     """
+    pairs = keep(pairs.drop("fold"), "stack_level0")
     base = Learner("gbt", rounds, features=[*features, "prob"])
     data = pairs
-    for kind in ("gbt", "forest"):
-        scored, _ = cross_validate(Learner(kind, rounds, features=base.features), pairs.drop("fold"), column=f"l1_{kind}")
+    for kind in ("gbt", "forest"):  # learners of unlike bias
+        scored, _ = cross_validate(Learner(kind, rounds, features=base.features), pairs, column=f"l1_{kind}")
         data = data.join(scored.select(*KEY, f"l1_{kind}"), KEY)
-    data = data.withColumn("l1_mean", mean_probability(["l1_gbt", "l1_forest"]))
+    data = keep(data.withColumn("l1_mean", mean_probability(["l1_gbt", "l1_forest"])), "stack_level1")
     context = siblings.relational(data.select(*KEY, "source", "first_num_equal", F.col("l1_mean").alias("prob")), records)
     names = [c for c in context.columns if c.startswith("r_")]
-    data = data.join(context.select(*KEY, *names), KEY)
+    data = keep(data.join(context.select(*KEY, *names), KEY), "stack_siblings")
     second = Learner("gbt", rounds, features=[*base.features, "l1_mean", *names])
-    scored, _ = cross_validate(second, data.drop("fold"), column="l2")
-    data = data.join(scored.select(*KEY, "l2"), KEY)
+    scored, _ = cross_validate(second, data, column="l2")
+    data = keep(data.join(scored.select(*KEY, "l2"), KEY), "stack_level2")
 
     def evaluated(column: str):
         own = data.select(*KEY, F.col(column).alias("prob"))
