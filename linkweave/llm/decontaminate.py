@@ -1,13 +1,15 @@
-"""Operator 9, benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
+"""Operator 9, benchmark decontamination: item-sized windows, exact bounds of their overlap, exact similarity, SimHash distance.
 
 Every item is its 5-word shingles with weights (rare among the items is heavy) and their SimHash. In a document each
-run of as many shingles as an item has is a window; its SimHash is looked up among the items of that size by BLOCKS
-blocks of bits, which finds every item within BLOCKS - 1 bits, and the distance is checked. Candidates are verified by
-the weighted Jaccard similarity of the shingles, repeats included: SIMILARITY or more is a hit.
+run of as many shingles as an item has is a window. A window is a hit if the weighted Jaccard similarity of the
+shingles, repeats included, is SIMILARITY or more; `distance` is that of the SimHashes.
 
-A window that shares no shingle with any item has similarity zero, so only windows over a shared shingle are hashed;
-that loses nothing. A document shorter than an item is one window. The items' index goes to every task; its size is
-checked, and more than INDEX_SHINGLES shingles are taken in several passes over the documents.
+Fingerprints do not choose the windows: at 0.8 some percent of them differ by more bits than any blocks find. Two exact
+bounds do. A window at SIMILARITY holds that share of the item's weight, so it has one of the item's rarest shingles
+that make up the rest (its prefix); items without one in the document are left out. For the others the weight of the
+item's shingles in every window, from running sums, bounds its similarity; windows whose bound reaches SIMILARITY are
+verified. The items' index goes to every task; its size is checked, and more than INDEX_SHINGLES shingles are taken in
+several passes over the documents.
 
 Defined results: null and empty texts have no hits, nor have items without words; items and texts of fewer than five
 words are one shingle; of several windows for an item the most similar counts, the first of equals; repeated rows are
@@ -33,10 +35,12 @@ WORDS, SIMILARITY = 5, 0.8
 #: Blocks of four bits; all fingerprints within BLOCKS - 1 = 15 bits agree in one.
 BLOCKS = 16
 INDEX_SHINGLES = 500_000
+#: What sums in another order may differ by.
+SLACK = 1e-9
 
 
 class Items:
-    """The index of a set of items: shingles, weights, and blocks of fingerprints by size."""
+    """The index of a set of items: shingles, weights, prefixes, and blocks of fingerprints by size."""
 
     def __init__(self, items: list[tuple[int | None, str]], frequency: dict[int, int], total: int, similarity: float = SIMILARITY, words: int = WORDS):
         self.words, self.similarity = words, similarity
@@ -52,20 +56,25 @@ class Items:
         self.known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.rare = float(np.log(total + 1) + 1)
         self.weight = {h: float(np.log((total + 1) / (n + 1)) + 1) for h, n in frequency.items()}
+        self.known_weight = np.array([self.weight.get(h, self.rare) for h in self.known.tolist()])
         self.mass = [sum(n * self.weight.get(h, self.rare) for h, n in c.items()) for c in self.counts]
-        self.sizes_of: dict[int, np.ndarray] = {}
-        sizes: dict[int, set[int]] = {}
-        for h, n in zip(hashes, self.size.tolist(), strict=True):
-            for x in set(h.tolist()):
-                sizes.setdefault(x, set()).add(n)
-        self.sizes_of = {h: sorted(s) for h, s in sizes.items()}
+        self.own = [np.unique(np.searchsorted(self.known, h)) for h in hashes]
+        self.prefix: dict[int, list[int]] = {}
+        for k, c in enumerate(self.counts):
+            rest = self.mass[k]
+            for h in sorted(c, key=lambda h: (-self.weight.get(h, self.rare), h)):
+                if rest < similarity * self.mass[k] - SLACK:
+                    break
+                self.prefix.setdefault(int(np.searchsorted(self.known, np.uint64(h))), []).append(k)
+                rest -= c[h] * self.weight.get(h, self.rare)
+        self.heads = np.array(sorted(self.prefix), np.int64)
         self.blocks: dict[tuple[int, int, int], list[int]] = {}
         for k, (n, fp) in enumerate(zip(self.size.tolist(), self.fps, strict=True)):
             for b in range(BLOCKS):
                 self.blocks.setdefault((n, b, fp >> (4 * b) & 15), []).append(k)
 
     def near(self, size: int, fp: int) -> list[int]:
-        """Items of this size within the radius of a fingerprint."""
+        """Items of this size within the radius of a fingerprint; hits() does not rely on it."""
         found = {k for b in range(BLOCKS) for k in self.blocks.get((size, b, fp >> (4 * b) & 15), ())}
         return [k for k in found if (self.fps[k] ^ fp).bit_count() < BLOCKS]
 
@@ -75,42 +84,52 @@ class Items:
         mass = sum(n * self.weight.get(h, self.rare) for h, n in counts.items())
         return both / (mass + self.mass[k] - both)
 
-    def windows(self, h: np.ndarray):
-        """(size, start) of the windows over a shared shingle; `size` is the items' size."""
+    def candidates(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, starts, bounds) of the windows that may be similar enough; no window's similarity is above its bound."""
+        if not len(h) or not len(self.known):
+            return
         at = np.searchsorted(self.known, h)
         at[at == len(self.known)] = 0
-        shared = np.flatnonzero(self.known[at] == h) if len(self.known) else np.zeros(0, np.int64)
-        by_size: dict[int, list[int]] = {}
-        for p in shared.tolist():
-            for n in self.sizes_of[int(h[p])]:
-                by_size.setdefault(n, []).append(p)
-        for n, places in by_size.items():
-            if len(h) <= n:
-                yield n, np.zeros(1, np.int64)
-            else:
-                own = np.array(places)
-                edge = np.zeros(len(h) + 1, np.int64)
-                np.add.at(edge, np.maximum(own - n + 1, 0), 1)
-                np.add.at(edge, np.minimum(own, len(h) - n) + 1, -1)
-                yield n, np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        places = np.flatnonzero(self.known[at] == h)
+        if not len(places):
+            return
+        found = at[places]
+        heads = np.intersect1d(found, self.heads)
+        if not len(heads):
+            return
+        weights = np.full(len(h), self.rare)
+        weights[places] = self.known_weight[found]
+        mass = np.concatenate([[0.0], np.cumsum(weights)])
+        for k in sorted({k for x in heads.tolist() for k in self.prefix[x]}):
+            n = min(int(self.size[k]), len(h))
+            own = places[np.isin(found, self.own[k])]
+            shared = np.concatenate([[0.0], np.cumsum(weights[own])])
+            starts = np.arange(max(0, int(own[0]) - n + 1), min(int(own[-1]), len(h) - n) + 1)
+            both = shared[np.searchsorted(own, starts + n)] - shared[np.searchsorted(own, starts)]
+            both = np.minimum(both, self.mass[k])
+            bound = both / (mass[starts + n] - mass[starts] + self.mass[k] - both)
+            keep = np.flatnonzero(bound >= self.similarity - SLACK)
+            if len(keep):
+                yield k, starts[keep], bound[keep]
 
     def hits(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
         """(item, first word, words, similarity, distance) of the best window for each item found in a text."""
         h = shingle_hashes(text or "", self.words)
-        best: dict[int, tuple[float, int, int, int]] = {}
-        for size, starts in self.windows(h):
-            n = min(size, len(h))
-            low, high = int(starts[0]), int(starts[-1]) + n
-            bits = np.unpackbits(h[low:high].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-            ones = sums[starts - low + n] - sums[starts - low]
-            fps = np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
-            for s, fp in zip(starts.tolist(), fps.tolist(), strict=True):
-                for k in self.near(size, fp):
-                    share = self.similar(k, h[s : s + n])
-                    if share >= self.similarity and (share, -s) > best.get(k, (0.0, 0))[:2]:
-                        best[k] = (share, -s, n, (self.fps[k] ^ fp).bit_count())
-        return [(k, -s, n + self.words - 1, share, d) for k, (share, s, n, d) in sorted(best.items())]
+        out = []
+        for k, starts, bounds in self.candidates(h):
+            n = min(int(self.size[k]), len(h))
+            best: tuple[float, int, float] | None = None
+            for i in np.argsort(-bounds, kind="stable").tolist():
+                if best and bounds[i] < best[0] - SLACK:
+                    break
+                s = int(starts[i])
+                share = self.similar(k, h[s : s + n])
+                if share >= self.similarity and (best is None or (round(share, 12), -s) > best[:2]):
+                    best = (round(share, 12), -s, share)
+            if best:
+                s = -best[1]
+                out.append((k, s, n + self.words - 1, best[2], (self.fps[k] ^ fingerprint(h[s : s + n])).bit_count()))
+        return out
 
 
 def indexes(benchmark: DataFrame, similarity: float = SIMILARITY, most: int = INDEX_SHINGLES) -> Iterator[Items]:

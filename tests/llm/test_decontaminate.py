@@ -90,3 +90,27 @@ def test_odd_rows(spark):
     assert dc.keep_clean(docs, bench).columns == docs.columns and dc.keep_clean(docs, bench).count() == len(helpers.ODD) - 3
     assert dc.contaminated(helpers.empty(spark), bench).count() == 0
     assert dc.contaminated(docs, bench.limit(0)).count() == 0 and dc.keep_clean(docs, bench.limit(0)).count() == len(helpers.ODD)
+
+
+def test_far_fingerprints_are_no_miss():
+    """Windows at 0.8 or more are found whatever their fingerprints' distance; brute force without a radius."""
+    rng = np.random.default_rng(11)
+    far = 0
+    for size in (13, 40, 49, 94):
+        texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, size))) for i in range(150)]
+        items = dc.Items(texts, {}, len(texts))
+        for k, text in texts:
+            words, shingles = text.split(), size - 4
+            cut = shingles - int(np.ceil(0.8 * shingles / 0.9)) if k % 2 else 0  # an end of other words on one side
+            words = words[: size - cut] + [f"x{x}" for x in rng.integers(0, 10**6, cut)]
+            h = simhash.shingle_hashes(" ".join(words), 5)
+            item = simhash.shingle_hashes(text, 5)
+            a, b = Counter(h.tolist()), Counter(item.tolist())
+            share = (a & b).total() / (a | b).total()
+            d = (simhash.fingerprint(h) ^ items.fps[k]).bit_count()
+            found = {i: (s, dist) for i, _, _, s, dist in items.hits(" ".join(words))}
+            assert (k in found) == (share >= 0.8)
+            if k in found:
+                assert abs(found[k][0] - share) < 1e-9 and found[k][1] == d
+                far += d >= dc.BLOCKS
+    assert far > 0
