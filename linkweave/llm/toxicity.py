@@ -48,9 +48,12 @@ SEPARATORS = ".-_*~^'"
 #: Costs of the channel, in natural logarithms.
 SUBSTITUTE, DROP, JOIN, BREAK, REPEAT, DOUBLE = 1.0, 3.0, 0.5, 2.0, 0.3, 2.5
 
+#: Signs that stand for letters, and those that may also stand between letters.
+SIGNS, BETWEEN = "0123456789@$!|+€£", "*._~^-"
 _L = r"[^\W\d_]"
-SUSPECT = re.compile(rf"{_L}[0-9@$!|+€£*._~^-]+{_L}|^[0-9@$!|+€£]+{_L}|{_L}[0-9@$|+€£]$|({_L})\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .*_-]{1,2}){3,}[^\W_](?![^\s.,!?;:])")
+SUSPECT = re.compile(rf"{_L}[{SIGNS}{BETWEEN}]+{_L}|^[{SIGNS}]+{_L}|{_L}[{SIGNS}]+$|({_L})\1\1")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .*_-]{1,2}){2,}[^\W_](?![^\s.,!?;:])")
+CLOSING = re.compile(r"(!+|[0-9]{4,})$")
 WORD = re.compile(rf"{_L}+")
 
 
@@ -87,8 +90,8 @@ def channel(c: str, n: int) -> list[tuple[str, float]]:
     return [(" ", 0.0)]
 
 
-def viterbi(token: str, model: CharModel) -> str:
-    """The most likely reading of a token's lattice."""
+def best_path(token: str, model: CharModel) -> tuple[float, str]:
+    """Score and text of the most likely reading of a token's lattice."""
     n, logp, of = model.size, model.logp, model.of
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for c, run in groupby(token):
@@ -106,19 +109,34 @@ def viterbi(token: str, model: CharModel) -> str:
                     after[x, y] = (s, (path, emit) if emit else path)
         states = after
     ends = [(s + (logp[(a * n + b) * n] if b else 0.0), path) for (a, b), (s, path) in states.items()]
-    path, out = max(ends, key=lambda e: e[0])[1], []
+    best, path = max(ends, key=lambda e: e[0])
+    out = []
     while path is not None:
         path, emit = path
         out.append(emit)
-    return " ".join("".join(reversed(out)).split())
+    return best, " ".join("".join(reversed(out)).split())
+
+
+def viterbi(token: str, model: CharModel) -> str:
+    """The most likely reading of a token's lattice."""
+    return best_path(token, model)[1]
+
+
+def plain_path(word: str, model: CharModel) -> float:
+    """Score of a word as it is written."""
+    n, s, x, y = model.size, 0.0, 0, 0
+    for k in [*map(model.of, word), 0]:
+        s += model.logp[(x * n + y) * n + k]
+        x, y = y, k
+    return s
 
 
 #: Classes of the characters up to U+FFFF: letters, digits or letters, signs of SUSPECT before a letter, and behind one.
 _ALPHA = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
 _ALNUM = np.fromiter((chr(i).isalnum() for i in range(1 << 16)), bool, 1 << 16)
 _BEFORE, _BEHIND = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-_BEFORE[[ord(c) for c in "0123456789@$!|+€£*._~^-"]] = True
-_BEHIND[[ord(c) for c in "0123456789@$|+€"]] = True
+_BEFORE[[ord(c) for c in SIGNS + BETWEEN]] = True
+_BEHIND[[ord(c) for c in SIGNS]] = True
 
 
 def codes(text: str) -> np.ndarray:
@@ -141,16 +159,34 @@ class Restorer:
             if len(self.known) > TOKENS_KEPT:
                 self.known.clear()
             core = w.strip(".,;:?()[]{}\"'“”«»")
-            self.known[w] = viterbi(core, self.model) if SUSPECT.search(core) else None
+            self.known[w] = self.reading(core) if SUSPECT.search(core) else None
         return self.known[w]
 
+    def reading(self, core: str) -> str | None:
+        """The most likely reading; exclamation marks at the end may be punctuation, four digits or more a number."""
+        tail = CLOSING.search(core)
+        if tail is None or not tail.start():
+            return viterbi(core, self.model)
+        bare = core[: tail.start()]
+        score, read = best_path(core, self.model)
+        if SUSPECT.search(bare):
+            other, own = best_path(bare, self.model)
+        else:
+            other, own = plain_path(bare, self.model), None
+        return read if score > other - (0.0 if core[-1] == "!" else BREAK) else own
+
+    def spelled(self, m: re.Match) -> str:
+        """Letters spelled with signs between as one token; three digits stay."""
+        token = re.sub(r"[ .*_-]", "", m[0])
+        return m[0] if len(token) < 4 and token.isdigit() else viterbi(token, self.model)
+
     def restore(self, text: str) -> str:
         text = text.lower()
         code = codes(text)
         single = _ALNUM[code]
         alone = np.flatnonzero(single[1:-1] & ~single[:-2] & ~single[2:])
-        if len(alone) > 3 and (alone[3:] - alone[:-3] <= 9).any():  # four characters, each with one or two signs between
-            text = SPACED.sub(lambda m: viterbi(re.sub(r"[ .*_-]", "", m[0]), self.model), text)
+        if len(alone) > 2 and (alone[2:] - alone[:-2] <= 6).any():  # three characters, each with one or two signs between
+            text = SPACED.sub(self.spelled, text)
             code = codes(text)
         letter = _ALPHA[code]
         sign = (_BEFORE[code[:-1]] & letter[1:]) | (letter[:-1] & _BEHIND[code[1:]])

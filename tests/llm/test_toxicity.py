@@ -101,3 +101,28 @@ def test_odd_rows(spark):
         assert len(rows) == len(helpers.ODD) and all(0 <= r.score <= 1 for r in rows)
     assert tox.score(helpers.empty(spark), labels).count() == 0
     assert sorted(r.text for r in tox.restored(helpers.odd(spark)).collect())[:2] == ["", ""]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("such a$$ and a55 here", "such ass and ass here"),
+    ("cla55 of b455, sh!7.", "class of bass, shit."),
+    ("p!55 ki11 poo£", "piss kill pool"),
+    ("so naz! here", "so nazi here"),
+    ("an a s s here", "an ass here"),
+    ("house! trash!! water2024 1 2 3", "house! trash!! water2024 1 2 3"),
+])
+def test_signs_at_a_words_end_are_read(text, want):
+    counts, empty = {}, tox.CharModel(LATIN, {})
+    for w in [*WORDS, *"ass class bass shit piss kill pool nazi such of here so an a".split()]:
+        x = y = 0
+        for k in [*map(empty.of, w), 0]:
+            key = (x * empty.size + y) * empty.size + k
+            counts[key] = counts.get(key, 0) + 50
+            x, y = y, k
+    got = tox.Restorer(tox.CharModel(LATIN, counts)).restore(text)
+    assert [w.strip(".,") for w in got.split()] == [w.strip(".,") for w in want.split()]
+
+
+def test_prefilter_has_the_gates_signs():
+    for c in tox.SIGNS:
+        assert tox._BEFORE[ord(c)] and tox._BEHIND[ord(c)] and tox.SUSPECT.search(f"evi{c}") and tox.SUSPECT.search(f"{c}vil")
