@@ -18,12 +18,17 @@ radius of NEAR_RADIUS bits in two fingerprints together, and each candidate pair
 themselves. At 0.8 two sets differ by 19.4 of the 128 bits, four standard deviations below that radius; unrelated
 ones, of which a common passage brings many into one bucket, by 64, seven of them above it.
 
+Sets of fewer than SMALL shingles differ by more bits than that often enough. They stand in buckets of their own as
+well, without any comparison of bits: those of the shingles in their prefix, the smallest hashes that two sets at 0.8
+cannot but share one of. So no pair of small sets is missed.
+
 Defined results: null, empty and wordless texts have fingerprint zero; fewer words than a shingle are one shingle;
 equal rows are one group; a null doc_id is larger than every other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +43,8 @@ from linkweave.llm.components import components
 SEED = 42
 WORDS, RADIUS = 4, 4
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_RADIUS, MIN_KEYS = 5, 0.8, 36, 4
+#: Sets of fewer shingles are compared without fingerprints.
+SMALL = 16
 #: Fingerprints in a tile, and in the squares inside a unit that are skipped or compared at once.
 TILE, SQUARE = 4096, 256
 #: Expected fingerprints in a bucket that the number of blocks is chosen for.
@@ -303,11 +310,16 @@ def _second(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _signatures(rows: DataFrame, words: int) -> DataFrame:
-    """uid, doc_id, key (of the set of shingles), fingerprints, size and min-wise hashes of every row of `rows` (uid, doc_id, text)."""
+def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The smallest of a set's hashes (`h`, in order) of which any set that is similar enough has one in its own prefix."""
+    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def _signatures(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """uid, doc_id, key (of the set of shingles), fingerprints, size, min-wise hashes and a small set's prefix of every row of `rows` (uid, doc_id, text)."""
 
     def run(batch):
-        keys, fps, seconds, sizes, mins = [], [], [], [], []
+        keys, fps, seconds, sizes, mins, heads = [], [], [], [], [], []
         for t in common.texts_of(batch):
             h = np.unique(shingle_hashes(t, words))
             keys.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
@@ -315,10 +327,11 @@ def _signatures(rows: DataFrame, words: int) -> DataFrame:
             seconds.append(fingerprint(_second(h)))
             sizes.append(len(h))
             mins.append(signed((h[:, None] * _ODD[None, :MIN_KEYS]).min(axis=0)) if len(h) else np.zeros(MIN_KEYS, np.int64))
+            heads.append(signed(prefix(h, similarity)).tolist() if 0 < len(h) < SMALL else [])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mins) + 1) * MIN_KEYS, pa.int32()), pa.array(np.concatenate(mins)))
-        return common.rebatch(uid=batch.column(2), doc_id=batch.column(0), key=pa.array(keys, pa.binary()), fp=pa.array(signed(fps)), fp2=pa.array(signed(seconds)), size=pa.array(sizes, pa.int64()), mins=lists)
+        return common.rebatch(uid=batch.column(2), doc_id=batch.column(0), key=pa.array(keys, pa.binary()), fp=pa.array(signed(fps)), fp2=pa.array(signed(seconds)), size=pa.array(sizes, pa.int64()), mins=lists, heads=pa.array(heads, pa.list_(pa.int64())))
 
-    return common.map_batches(rows, run, "uid long, doc_id long, key binary, fp long, fp2 long, size long, mins array<long>")
+    return common.map_batches(rows, run, "uid long, doc_id long, key binary, fp long, fp2 long, size long, mins array<long>, heads array<long>")
 
 
 def _prints(t: pa.Table, radius: int, similarity: float) -> Prints:
@@ -390,11 +403,13 @@ def near_duplicates(rows: DataFrame, words: int = NEAR_WORDS, similarity: float
     one with the smallest uid.
     """
     rows = rows.select("doc_id", "text", "uid")
-    sig = common.materialize(_signatures(rows, words), "signatures")
+    sig = common.materialize(_signatures(rows, words, similarity), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("best")
-    same = [F.min(c).alias(c) for c in (*LANES, "size", "mins")]  # equal for equal sets
+    same = [F.min(c).alias(c) for c in (*LANES, "size", "mins", "heads")]  # equal for equal sets
     nodes = common.materialize(sig.groupBy("key").agg(F.min("uid").alias("node"), *same, best), "nodes")
     keyed = nodes.select("node", *LANES, "size", F.posexplode("mins").alias("j", "v"))
+    blind = nodes.select("node", *[F.lit(0).cast("long").alias(c) for c in LANES], "size", F.lit(MIN_KEYS).alias("j"), F.explode("heads").alias("v"))
+    keyed = keyed.unionByName(blind)
     candidates = common.materialize(_candidates(keyed, NEAR_RADIUS, similarity), "candidates")
     wanted = few_or_shuffled(candidates.select(F.col("node").alias("uid")).distinct())
 

@@ -122,3 +122,27 @@ def test_deduplicate_odd_rows(spark):
     near = [(i, t) for i, t in near_texts()]
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(near, "doc_id long, text string")).collect()}
     assert 0 in kept and set(range(100, 130)) <= kept and len(kept) == 31
+
+
+def test_no_pair_of_short_texts_is_lost(spark):
+    """Nine words and the first eight of them have Jaccard 0.8; those whose fingerprints are too far apart must meet too."""
+    rng, far = np.random.default_rng(5), []
+    while len(far) < 6:
+        text = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 9))
+        a, b = (np.unique(simhash.shingle_hashes(t, 5)) for t in (text, text.rsplit(" ", 1)[0]))
+        bits = (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() + (simhash.fingerprint(simhash._second(a)) ^ simhash.fingerprint(simhash._second(b))).bit_count()
+        if bits > simhash.NEAR_RADIUS:
+            far.append(text)
+    docs = [(2 * i + k, t) for i, text in enumerate(far) for k, t in enumerate((text, text.rsplit(" ", 1)[0]))]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), 5, 0.8).collect()}
+    assert kept == {2 * i for i in range(len(far))}
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        n = int(rng.integers(1, simhash.SMALL))
+        a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 60, int(rng.integers(0, 3))).astype(np.uint64)))
+        if len(b) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.prefix(a, 0.8), simhash.prefix(b, 0.8)))
