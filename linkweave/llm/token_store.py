@@ -31,75 +31,124 @@ HEAD = struct.Struct("<4sIIIIIQQ")
 SHARD_IDS = 1_000_000
 #: Bytes of the table, as stored, that a partition gets, about.
 PARTITION_BYTES = 12_000_000
+#: A partition streams, so it may be larger where this many would be exceeded.
+MOST_PARTITIONS = 20_000
 #: A pair is replaced if the shard holds it this often.
-LEAST_COUNT = 12
-#: Most rounds over a shard, and most pairs replaced in one of them.
-ROUNDS, ROUND_PAIRS = 6, 8192
+LEAST_COUNT = 16
 #: Nonterminals keep below 2 ** 16 where the ids do, so that a symbol takes two bytes.
 NARROW = 1 << 16
-
-
 #: Buckets that pairs are counted and looked up through, as a power of two.
 BUCKETS = 18
 
 
-def _bucket(key: np.ndarray) -> np.ndarray:
-    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-
-
-def _frequent(key: np.ndarray, bucket: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The pairs that occur `least` times or more, at most `most` of them, by falling count then key, one for each
-    bucket: a bucket's count is no less than that of its pairs, so only full buckets are counted exactly."""
-    often = np.bincount(bucket, minlength=1 << BUCKETS) >= least
-    some = np.sort(key[often[bucket]])
-    if not len(some):
-        return some
-    first = np.flatnonzero(np.append([True], some[1:] != some[:-1]))
-    counts = np.diff(np.append(first, len(some)))
-    keep = counts >= least
-    pairs = some[first[keep]]
-    pairs = pairs[np.lexsort((pairs, -counts[keep]))]
-    return pairs[np.sort(np.unique(_bucket(pairs), return_index=True)[1])][:most]
-
-
-def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT, rounds: int = ROUNDS, round_pairs: int = ROUND_PAIRS):
+class _Pairs:
+    """The sequence as a linked list, with the pair that begins at each symbol and how full each bucket of pairs is."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray):
+        n = len(ids)
+        self.seq = np.append(ids.astype(np.int64), 0)
+        self.next = np.arange(1, n + 2)
+        self.prev = np.arange(-1, n)
+        self.last = np.zeros(n + 1, bool)  # of a document; the place behind all counts as one
+        self.last[np.asarray(ends, np.int64) - 1] = True
+        self.last[n] = True
+        self.alive = np.ones(n + 1, bool)
+        self.alive[n] = False
+        self.key = np.full(n + 1, -1, np.int64)
+        self.bucket = np.full(n + 1, 1 << BUCKETS, np.int32)  # the bucket behind all holds no pair
+        self.full = np.zeros((1 << BUCKETS) + 1, np.int64)
+        self.fresh = np.zeros((1 << BUCKETS) + 1, bool)  # buckets that grew since they were found without a frequent pair
+        self._set(np.arange(n))
+
+    def _set(self, at: np.ndarray) -> None:
+        """Pairs that begin at these symbols, and their buckets."""
+        at = at[~self.last[at]]
+        self.key[at] = (self.seq[at] << 32) | self.seq[self.next[at]]
+        self.bucket[at] = ((self.key[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
+        self.full += np.bincount(self.bucket[at], minlength=len(self.full))
+        self.fresh[self.bucket[at]] = True
+
+    def _unset(self, at: np.ndarray) -> None:
+        self.full -= np.bincount(self.bucket[at], minlength=len(self.full))
+        self.key[at], self.bucket[at] = -1, 1 << BUCKETS
+
+    def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs that occur `least` times or more, and their ranks by falling count, then key.
+
+        A bucket's count is no less than that of its pairs, so only full buckets are counted exactly. Of several such
+        pairs in a bucket the most frequent one is returned; the others have their turn in later rounds.
+        """
+        some = self.fresh & (self.full >= least)
+        some[-1] = False
+        at = np.flatnonzero(some[self.bucket])
+        if not len(at):
+            return at, at
+        keys = np.sort(self.key[at])
+        first = np.flatnonzero(np.append([True], keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(first, len(keys)))
+        keep = counts >= least
+        pairs, counts = keys[first[keep]], counts[keep]
+        self.fresh[some] = False
+        pairs = pairs[np.lexsort((pairs, -counts))]
+        home = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
+        self.fresh[home] = True
+        of = np.sort(np.unique(home, return_index=True)[1])
+        pairs = pairs[of]
+        table = np.full(len(self.full), -1, np.int32)
+        table[home[of]] = np.arange(len(of))
+        rank = table[self.bucket[at]]
+        mine = rank >= 0
+        at, rank = at[mine], rank[mine]
+        mine = pairs[rank] == self.key[at]
+        return at[mine], rank[mine]
+
+    def replace(self, at: np.ndarray, symbols: np.ndarray) -> None:
+        """The pairs that begin at `at`, none of which overlap, become these symbols."""
+        right, before = self.next[at], self.prev[at]
+        touched = np.zeros(len(self.seq), bool)
+        touched[at] = touched[right] = True
+        touched[before[before >= 0]] = True
+        self._unset(np.flatnonzero(touched))
+        self.seq[at] = symbols
+        self.last[at] = self.last[right]
+        self.alive[right] = False
+        after = self.next[right]
+        self.next[at] = after
+        self.prev[np.minimum(after, len(self.seq) - 1)] = at
+        touched[right] = False
+        self._set(np.flatnonzero(touched))
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT):
     """Symbols, symbol offset of each document's end, rules and the first nonterminal, for ids whose documents end at `ends`."""
     base = int(ids.max()) + 1 if len(ids) else 1
     room = NARROW - base if base < NARROW else 1 << 20
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)
-    last[np.asarray(ends, np.int64) - 1] = True
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2 or len(rules) >= room:
-            break
-        key = seq[:-1] << 32
-        key |= seq[1:]
-        inner = ~last[:-1]
-        bucket = _bucket(key)
-        pairs = _frequent(key[inner], bucket[inner], least, min(round_pairs, room - len(rules)))
-        if not len(pairs):
+    if not len(ids):
+        return ids.astype(np.int64), np.zeros(0, np.int64), rules, base
+    state = _Pairs(ids, ends)
+    none = np.iinfo(np.int32).max
+    ranks = np.full(len(ids) + 2, none, np.int32)
+    while len(rules) < room:
+        at, rank = state.frequent(least)
+        if not len(at):
             break
-        none = len(pairs)
-        table = np.full(1 << BUCKETS, none, np.int32)
-        table[_bucket(pairs)] = np.arange(none)
-        rank = table[bucket]  # the lower, the more frequent
-        rank[(np.append(pairs, -1)[rank] != key) | ~inner] = none
-        wins = rank < none
-        wins[1:] &= rank[1:] < rank[:-1]
-        wins[:-1] &= rank[:-1] <= rank[1:]
-        take = np.flatnonzero(wins)
-        chosen = rank[take]
-        used = np.flatnonzero(np.bincount(chosen, minlength=none))
-        new = np.zeros(none, np.int64)
+        # of overlapping pairs the more frequent one wins, of equals the left one; the first of all always does
+        ranks[at] = rank
+        wins = (rank < ranks[state.prev[at]]) & (rank <= ranks[state.next[at]])
+        ranks[at] = none
+        at, rank = at[wins], rank[wins]
+        uses = np.bincount(rank)
+        used = np.flatnonzero(uses > 1)[: room - len(rules)]
+        new = np.full(len(uses), -1, np.int64)
         new[used] = base + len(rules) + np.arange(len(used))
-        seq[take] = new[chosen]
-        rules = np.concatenate([rules, np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)])
-        last[take] = last[take + 1]
-        keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
-        seq, last = seq[keep], last[keep]
-    return seq, np.flatnonzero(last) + 1, rules, base
+        at, symbol = at[new[rank] >= 0], new[rank[new[rank] >= 0]]
+        pairs = np.zeros(len(used), np.int64)
+        pairs[symbol - base - len(rules)] = state.key[at]
+        rules = np.concatenate([rules, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)])
+        state.replace(at, symbol)
+    alive = np.flatnonzero(state.alive)
+    return state.seq[alive], np.flatnonzero(state.last[alive]) + 1, rules, base
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
