@@ -13,6 +13,8 @@ from linkweave.functions import vocabulary as v
 from linkweave.functions.names import collapse_doubles, literal_map, lookup, words
 
 DIGITS = r"^\d+$"
+#: Backwards, a name stands before any that it begins with, so the longer one is taken.
+REGION_NAME = rf"\b({'|'.join(sorted(v.REGIONS, reverse=True))})\b"
 
 
 def number(t: Column) -> Column:
@@ -20,6 +22,12 @@ def number(t: Column) -> Column:
     return F.regexp_replace(t, "^0+(?=.)", "")
 
 
+def region_of(name: Column) -> Column:
+    """The code that a whole name or a code stands for, else null."""
+    code = F.when(name.isin(*v.REGIONS.values()), name)
+    return F.coalesce(F.try_element_at(literal_map(v.REGIONS), name), F.try_element_at(literal_map(v.REGION_CODE_OTHER), name), code)
+
+
 def merged(region: Column) -> Column:
     return lookup(v.REGION_MERGED, region)
 
@@ -55,7 +63,6 @@ def segments(s: Column) -> Column:
 
 def described(segs: Column) -> Column:
     """Per segment what the fold needs of it, computed once: canonical words, numbers, and the regions it may show."""
-    alias = literal_map(v.REGION_ALIAS)
 
     def one(seg: Column) -> Column:
         ws = seg["words"]
@@ -66,9 +73,9 @@ def described(segs: Column) -> Column:
             F.transform(ws, lambda w: F.when(w.rlike(DIGITS), number(w)).otherwise(lookup(v.ADDRESS, w))).alias("canon"),
             F.transform(digits, number).alias("numbers"),
             ((F.size(digits) == 1) & F.coalesce(F.length(F.try_element_at(digits, F.lit(1))).isin(5, 6), F.lit(False))).alias("postal"),
-            F.try_element_at(alias, F.array_join(alpha, " ")).alias("whole"),
+            region_of(F.array_join(alpha, " ")).alias("whole"),
             last.alias("ending"),
-            F.try_element_at(alias, last).alias("code"),
+            region_of(last).alias("code"),
             seg["last"].alias("last"),
         )
 
@@ -102,7 +109,7 @@ def region_names_to_codes(s: Column) -> tuple[Column, Column]:
 
     Names are marked first and replaced after, so a code that is put in is not read again.
     """
-    marked = F.split(F.regexp_replace(s, v.REGION_PATTERN, "\u0001$1\u0002"), "\u0001")
+    marked = F.split(F.regexp_replace(s, REGION_NAME, "\u0001$1\u0002"), "\u0001")
     codes = literal_map(v.REGIONS)
 
     def one(p: Column, i: Column) -> Column:
@@ -110,7 +117,7 @@ def region_names_to_codes(s: Column) -> tuple[Column, Column]:
         rest = F.substring(p, F.length(name) + 2, F.length(p))
         return F.when((i > 0) & p.contains("\u0002"), F.concat(F.try_element_at(codes, name), rest)).otherwise(p)
 
-    names = F.regexp_extract_all(s, F.lit(v.REGION_PATTERN), 1)
+    names = F.regexp_extract_all(s, F.lit(REGION_NAME), 1)
     weak = F.coalesce(F.try_element_at(codes, F.try_element_at(names, F.lit(-1))), F.lit(""))
     return F.array_join(F.transform(marked, one), ""), weak
 

@@ -44,7 +44,7 @@ def plain_tokens(s: Column) -> Column:
 
 def contextual_legal(tokens: Column) -> Column:
     """Ambiguous abbreviations become legal forms right after a legal form, itself perhaps just found."""
-    legal = F.array(*map(F.lit, v.LEGAL_TOKENS))
+    legal = F.array(*map(F.lit, v.LEGAL_KINDS))
 
     def step(done: Column, t: Column) -> Column:
         after = F.coalesce(F.array_contains(legal, F.try_element_at(done, F.lit(-1))), F.lit(False))
@@ -59,15 +59,16 @@ def tokens(s: Column) -> Column:
 
 def core(toks: Column) -> Column:
     """Tokens that are neither legal forms nor stop words; if none is left, those that are no stop words, else all."""
-    stop, legal = (F.array(*map(F.lit, x)) for x in (v.NAME_STOP, v.LEGAL_TOKENS))
+    stop, legal = (F.array(*map(F.lit, x)) for x in (v.NAME_STOP, v.LEGAL_KINDS))
     spoken = F.filter(toks, lambda t: ~F.array_contains(stop, t))
     own = F.filter(spoken, lambda t: ~F.array_contains(legal, t))
     return F.when(F.size(own) > 0, own).when(F.size(spoken) > 0, spoken).otherwise(toks)
 
 
 def legal_bits(toks: Column) -> Column:
-    bits = F.create_map(*[F.lit(x) for t, b in v.LEGAL_BITS.items() for x in (t, b)])
-    return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.coalesce(F.try_element_at(bits, t), F.lit(0)).cast("long")))
+    """The places in LEGAL_KINDS of the legal forms among the tokens, as bits."""
+    found = F.transform(F.lit(v.LEGAL_KINDS), lambda kind, k: F.when(F.array_contains(toks, kind), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(0))
+    return F.aggregate(found, F.lit(0).cast("long"), lambda acc, bit: acc + bit)
 
 
 def split_alternate(s: Column) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.functions.vocabulary import REGION_CODES
+from linkweave.functions.vocabulary import REGIONS
 
 MIN_SHARE = 0.0005
 MIN_COUNT, MIN_PURITY, PASSES = 20, 0.98, 2
@@ -46,7 +46,7 @@ def witnesses(address):
     """Up to seven words and pairs of neighbours among the last four tokens; digits, codes and short tokens are blank."""
     toks = F.filter(F.split(address, " "), lambda t: t != "")
     tail = F.slice(toks, F.greatest(F.size(toks) - 3, F.lit(1)), 4)
-    blank = lambda t: t.rlike(r"^\d+$") | (F.length(t) < 3) | t.isin(REGION_CODES)
+    blank = lambda t: t.rlike(r"^\d+$") | (F.length(t) < 3) | t.isin(*REGIONS.values())
     tail = F.transform(tail, lambda t: F.when(blank(t), "").otherwise(t))
     pairs = F.zip_with(tail, F.slice(tail, 2, 3), lambda a, b: F.when((a != "") & (b != ""), F.concat_ws(" ", a, b)))
     return F.filter(F.concat(tail, pairs), lambda w: w.isNotNull() & (w != ""))

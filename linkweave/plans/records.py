@@ -180,7 +180,7 @@ alt AS (SELECT entity_id, CASE WHEN NOT m THEN n WHEN TRIM(b) = '' AND TRIM(c) <
 _DOMAIN = vocabulary.DOMAIN
 _CLEAN_NAME = f"REPLACE(REPLACE(REPLACE(REPLACE(REGEXP_REPLACE(name, '{_DOMAIN}', ' \\1 ', 'g'), '&', ' and '), '+', ' and '), '''', ''), '`', '')"
 _TOKS = f"""{_ALT}, t0 AS (SELECT entity_id, {q.canonical(vocabulary.LEGAL, q.words(_CLEAN_NAME))} AS t FROM alt),
-toks AS (SELECT entity_id, LIST_TRANSFORM(t, LAMBDA x, i: CASE WHEN x = 'li' AND LIST_CONTAINS({q.strings(vocabulary.LEGAL_TOKENS)}, LIST_FILTER(t[1:i - 1], LAMBDA u: u <> 'li')[-1]) THEN 'ltd' ELSE x END) AS t FROM t0)"""
+toks AS (SELECT entity_id, LIST_TRANSFORM(t, LAMBDA x, i: CASE WHEN x = 'li' AND LIST_CONTAINS({q.strings(vocabulary.LEGAL_KINDS)}, LIST_FILTER(t[1:i - 1], LAMBDA u: u <> 'li')[-1]) THEN 'ltd' ELSE x END) AS t FROM t0)"""
 _CLEANED = f"REGEXP_REPLACE(REGEXP_REPLACE(a, '{vocabulary.JUNK}', ' ', 'g'), '{vocabulary.ORDINAL}', '\\1', 'g')"
 _PARTS = """parts AS (SELECT p_partkey AS entity_id, 1 + p_partkey % 3 AS source, p_brand AS country,
   CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN LOWER(p_type) || '|promo' ELSE LOWER(p_type) END AS region,
@@ -192,7 +192,7 @@ pick AS (SELECT entity_id, c FROM (SELECT cand.entity_id, c, ROW_NUMBER() OVER (
 res AS (SELECT parts.* EXCLUDE (region), COALESCE(pick.c, region) AS region FROM parts LEFT JOIN pick USING (entity_id)),
 rare AS (SELECT country, region FROM (SELECT country, region, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY country) AS t FROM res WHERE source = 1 AND region <> '' GROUP BY 1, 2)
   WHERE n < 0.15 * t)"""
-_CODES = q.strings(vocabulary.REGION_CODES)
+_CODES = q.strings(set(vocabulary.REGIONS.values()))
 _WITNESS = f"""wt AS (SELECT entity_id, country, LIST_TRANSFORM(l, LAMBDA x: CASE WHEN REGEXP_MATCHES(x, '^[0-9]+$') OR LENGTH(x) < 3 OR LIST_CONTAINS({_CODES}, x) THEN '' ELSE x END) AS t
   FROM (SELECT entity_id, country, STRING_SPLIT(addr, ' ')[-4:] AS l FROM res)),
 wit AS (SELECT entity_id, country, UNNEST(LIST_FILTER(LIST_CONCAT(t, LIST_TRANSFORM(RANGE(1, LEN(t)), LAMBDA i: CASE WHEN t[i] <> '' AND t[i + 1] <> '' THEN t[i] || ' ' || t[i + 1] ELSE '' END)), LAMBDA x: x <> '')) AS w FROM wt)"""
@@ -206,8 +206,8 @@ fill{k} AS (SELECT entity_id, MIN(f.region) AS r FROM wit JOIN fit{k} f USING (c
 inf{k} AS (SELECT b.entity_id, b.country, CASE WHEN b.region = '' THEN COALESCE(r, '') ELSE b.region END AS region FROM {before} b LEFT JOIN fill{k} USING (entity_id))"""
 
 
-_STOP, _LEGAL = q.strings(vocabulary.NAME_STOP), q.strings(vocabulary.LEGAL_TOKENS)
-_BITS = "CASE x " + " ".join(f"WHEN '{t}' THEN {b}" for t, b in vocabulary.LEGAL_BITS.items()) + " ELSE 0 END"
+_STOP, _LEGAL = q.strings(vocabulary.NAME_STOP), q.strings(vocabulary.LEGAL_KINDS)
+_BITS = "CASE x " + " ".join(f"WHEN '{t}' THEN {1 << b}" for b, t in enumerate(vocabulary.LEGAL_KINDS)) + " ELSE 0 END"
 ORACLE_SQL = {
     "collapse_doubles": f"WITH {RECORDS_SQL} SELECT entity_id, {q.collapse('n')} AS name, MD5({q.collapse('a')}) AS address_md5 FROM lat",
     "alt_split": f"WITH {_ALT} SELECT entity_id, name, alt FROM alt",
