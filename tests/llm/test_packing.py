@@ -45,6 +45,13 @@ def test_query_equals_plain_tokenizing(spark):
     assert gapless(rows) <= -(-sum(w[3] for w in want) // 2048) + 1
 
 
+def test_closing_signs_behind_letters_that_fall_apart():
+    letters = [chr(c) for c in [0x130, *range(0x958, 0x960), 0x9DC, 0x9DD, 0x9DF, 0xA33, 0xA36, 0xB5C, 0xFB1D, 0xFB2A, 0xF43]]
+    texts = [f"{x}{sign} a{x}{sign} b" for x in letters for sign in tokens.TAIL] + ["İ!", "e\u0301. e\u0301!", "a\u0301"]
+    ids, counts = tokens.encoder().encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == plain(texts)
+
+
 def test_odd_rows_and_sequences(spark):
     docs = helpers.odd(spark)
     rows = packing.packed(docs).collect()
@@ -78,13 +85,42 @@ def test_local_search_empties_bins(seed):
         bins.members.append([i])
         bins.fill.append(int(sizes[i]))
     squared = sum(f * f for f in bins.fill)
-    bins.local_search(patience=50)
+    bins.local_search()
     used = [f for f in bins.fill if f]
     assert sorted(i for m in bins.members for i in m) == list(range(200))
     assert all(f == sum(int(sizes[i]) for i in m) <= 2048 for f, m in zip(bins.fill, bins.members, strict=True))
     assert sum(f * f for f in used) > squared and len(used) <= 1.12 * bins.fewest() + 1
-    fitted = packing.Bins(sizes, 2048)
-    fitted.best_fit()
-    before = len(fitted.members)
-    fitted.local_search()
-    assert sum(f > 0 for f in fitted.fill) <= before
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_step_raises_the_squared_fill(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    bins = packing.Bins(rng.integers(200, 1200, 300), 2048)
+    bins.best_fit()
+    seen, close = [], bins._close
+
+    def watched(b):
+        seen.append(sum(f * f for f in bins.fill))
+        close(b)
+
+    monkeypatch.setattr(bins, "_close", watched)
+    bins.local_search()
+    assert seen == sorted(seen) and seen[-1] > seen[0] and bins.steps["one_for_one"] > 0
+
+
+def test_two_for_one():
+    bins = packing.Bins(np.array([500, 400, 700, 1000]), 2048)
+    bins.members, bins.fill = [[0, 1], [2, 3]], [900, 1700]
+    assert bins._exchange(list(packing.pairs_of([0, 1], bins.size)), 0, "two_for_one") is None
+    bins._open(1)
+    kind, give, b, take = bins._exchange(list(packing.pairs_of([0, 1], bins.size)), bins.rooms, "two_for_one")
+    assert (kind, sorted(give), b, take) == ("two_for_one", [0, 1], 1, [2])
+
+
+def test_report(spark):
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(50, 1500, 3000)
+    cut = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "uid long, length long")
+    rows = packing.report(cut, group_pieces=1000).collect()
+    first = [r for r in rows if r.level == 0]
+    assert sum(r.pieces for r in first) == 3000 and all(r.bins_after < r.bins_before and r.move + r.one_for_one + r.two_for_one > 0 for r in first)
