@@ -19,7 +19,7 @@ import struct
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.llm import common, tokens
@@ -31,8 +31,8 @@ HEAD = struct.Struct("<4sIIIIIQQ")
 SHARD_IDS = 1_000_000
 #: Bytes of the table, as stored, that a partition gets, about.
 PARTITION_BYTES = 12_000_000
-#: A partition streams, so it may be larger where this many would be exceeded.
-MOST_PARTITIONS = 20_000
+#: Partitions whose sizes are summed in one task.
+BLOCK_PARTS = 2048
 #: A pair is replaced if the shard holds it this often.
 LEAST_COUNT = 16
 #: Nonterminals keep below 2 ** 16 where the ids do, so that a symbol takes two bytes.
@@ -258,7 +258,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) if size is None else common.spread(spark, size, PARTITION_BYTES)
     order = rows.withColumn("h", F.xxhash64("text"))
     order = order.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
 
     def run(batches):
         from pyspark import TaskContext
@@ -277,7 +276,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
-        for b in batches:
+        for b in common.sliced(batches):
             ids, counts = enc.encode(common.texts_of(b))
             at = 0
             for doc, n in zip(b.column(0).to_pylist(), counts.tolist(), strict=True):
@@ -294,27 +293,29 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     return common.materialize(shards, "shards")
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids (binary, unsigned 32 bits) of every document, from the shard files.
+def starts(manifest: DataFrame) -> DataFrame:
+    """part, before: the ids of all partitions before each, summed inside blocks of partitions and over the blocks."""
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("part") / BLOCK_PARTS))
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n"))
+    sums = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("inside", inside).join(blocks.select("block", sums.alias("over")), "block").select("part", (F.col("over") + F.col("inside")).alias("before"))
 
-    What the driver gathers is one number for each partition that wrote.
-    """
+
+def read(manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids (binary, unsigned 32 bits) of every document, from the shard files."""
     import pyarrow as pa
 
     spark: SparkSession = manifest.sparkSession
-    totals = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    before, seen = {}, 0
-    for part, n in totals:
-        before[part], seen = seen, seen + n
-    shards = manifest.select("part", "path").repartition(common.spread(spark, max(1, manifest.count()), 4), "path")
+    shards = manifest.join(starts(manifest), "part").select("before", "path").repartition(common.spread(spark, max(1, manifest.count()), 4), "path")
 
     def run(batches):
         for b in batches:
-            for part, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for before, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = Shard(get(path))
                 found = shard.documents()
                 n = np.array([len(x) for x in found], np.int64)
-                starts = before[part] + shard.start + np.cumsum(n) - n
+                starts = before + shard.start + np.cumsum(n) - n
                 yield common.rebatch(doc_id=pa.array(shard.doc_ids, pa.int64()), start=pa.array(starts), n_tokens=pa.array(n), ids=pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()))
 
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
@@ -322,5 +323,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
-    manifest = write(docs, common.scratch(spark, "tokens"))
+    folder = common.scratch(spark, "tokens")
+    manifest = write(docs, folder)
+    common.tie(folder, manifest)  # the query keeps digests only
     return read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -33,6 +33,21 @@ def test_odd_rows(spark):
     assert token_store.read(token_store.write(helpers.empty(spark), common.scratch(spark, "t"))).count() == 0
 
 
+def test_starts_go_on_from_block_to_block(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK_PARTS", 4)
+    sizes = [(p, 10 * p + s) for p in (0, 1, 3, 4, 9, 17) for s in range(2)]
+    got = {r.part: r.before for r in token_store.starts(spark.createDataFrame(sizes, "part int, n_tokens long")).collect()}
+    assert got == {p: sum(n for q, n in sizes if q < p) for p, _ in sizes}
+
+
+def test_repair_ends_only_when_no_pair_is_frequent():
+    rng = np.random.default_rng(0)
+    ids = rng.zipf(1.3, 30000).clip(max=3000)
+    seq, _, rules, _ = token_store.repair(ids, np.array([len(ids)]))
+    pairs = np.unique((seq[:-1] << 32) | seq[1:], return_counts=True)[1]
+    assert len(rules) > 100 and pairs.max() < 2 * token_store.LEAST_COUNT
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)
