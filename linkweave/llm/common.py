@@ -13,17 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that one Arrow batch carries to Python; whole texts travel, so it is small.
+#: Rows whose texts are Python objects at once; Spark bounds its own batches by bytes.
 BATCH_ROWS = 1000
 
 _own_root: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a folder of our own only on a local master (tests).
+
+    Elsewhere executors could not read what others wrote, so an unset folder is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="linkweave-")
@@ -63,11 +68,38 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    files = out._jdf.queryExecution().analyzed().relation().location()
-    _tables.setdefault(spark.sparkContext.applicationId, []).append((path, spark._jvm.java.lang.ref.WeakReference(files)))
+    tie(path, out)
     return out
 
 
+def tie(folder: str, table: DataFrame) -> None:
+    """Delete `folder` once no plan reads `table`, a frame as materialize() returns it."""
+    spark = table.sparkSession
+    files = table._jdf.queryExecution().analyzed().relation().location()
+    _tables.setdefault(spark.sparkContext.applicationId, []).append((folder, spark._jvm.java.lang.ref.WeakReference(files)))
+
+
+def sample_rows(rows: DataFrame, most: int) -> list:
+    """Distinct rows with their number of copies (last), about `most` of them in all, by a threshold of their hash.
+
+    The threshold comes from a count before, so what reaches the driver is bounded whatever the number of partitions.
+    """
+    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("__linkweave_copies"))
+    each = materialize(each.withColumn("__linkweave_h", F.xxhash64(*rows.columns)), "labelled")
+    total = each.count()
+    if total > most:
+        each = each.where(F.col("__linkweave_h") < int(most / total * 2**64) - 2**63)
+    own = each.orderBy("__linkweave_h", *rows.columns).limit(most).select(*rows.columns, "__linkweave_copies")
+    return own.collect()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of few rows, so that few texts are Python objects at once; settings stay as they are."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def release() -> None:
     """Give freed memory back to the system; workers stay for other tasks, and idle ones count too."""
     gc.collect()
@@ -83,11 +115,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str, done: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow of a function of one batch; `fn` may return None for no rows; `done` is called at a partition's end."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
+        for b in sliced(batches):
+            if (out := fn(b)) is not None:
                 yield out
         if done:
             done()

@@ -192,7 +192,6 @@ def _without(docs: DataFrame, items: Items) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` in which no item is found, all columns kept."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     return reduce(_without, indexes(benchmark, similarity), docs)
 
 

@@ -234,7 +234,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with personal data in `text` replaced, and n_chars, where there is one, counted again."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
 
     @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:

@@ -1,6 +1,6 @@
 """Operator 2, quality classifier: document evidence under hierarchical empirical Bayes priors of sites.
 
-Evidence: a logistic regression on measures of the text, fitted on at most SAMPLE labelled rows (numbers only), gives
+Evidence: a logistic regression on measures of the text, fitted on at most SAMPLE distinct labelled rows (numbers only, weighted by copies), gives
 p, the chance that a document is good. Sites: `source` is the host and `lang` the section below it, since documents
 have no URL. Grouped sums of p give each host a mean that is shrunk to the mean of all, and each section one that is
 shrunk to its host's; how strongly is estimated by moments (variance within groups over variance between them), so a
@@ -33,8 +33,6 @@ M = "__linkweave_m"
 
 def with_measures(docs: DataFrame) -> DataFrame:
     """`docs` with the struct M of measures of its text."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-
     @F.pandas_udf(", ".join(f"{c} long" for c in quality_rules.COLUMNS))
     def take(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([quality_rules.measures(t or "") for t in text], columns=list(quality_rules.COLUMNS), dtype="int64")
@@ -69,13 +67,14 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray
         truth = F.broadcast(truth)
     own = rows.select(F.col("doc_id").cast("long").alias("__linkweave_id"), *[f.cast("double").alias(f"f{k}") for k, f in enumerate(features())])
     names = [f"f{k}" for k in range(len(features()))]
-    found = own.join(truth, "__linkweave_id").orderBy(F.xxhash64("__linkweave_id"), *names).limit(sample).select(*names, "__linkweave_y")
-    x = np.array([list(map(float, r)) for r in found.collect()]).reshape(-1, len(names) + 1)
-    x, y = x[:, :-1], x[:, -1]
+    found = common.sample_rows(own.join(truth, "__linkweave_id").select(*names, "__linkweave_y"), sample)
+    x = np.array([list(map(float, r)) for r in found]).reshape(-1, len(names) + 2)
+    x, y, copies = x[:, :-2], x[:, -2], x[:, -1]
     if not len(y) or y.min() == y.max():
         return None
-    mean, spread = x.mean(0), x.std(0) + 1e-9
-    w = fit_logistic((x - mean) / spread, y)
+    mean = np.average(x, 0, copies)
+    spread = np.sqrt(np.average((x - mean) ** 2, 0, copies)) + 1e-9
+    w = fit_logistic((x - mean) / spread, y, copies)
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 

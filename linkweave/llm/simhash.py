@@ -233,7 +233,6 @@ def unit_roots(key: np.ndarray, prints: Prints, small: int = 48) -> np.ndarray:
 
 def by_unit(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     """fn(table) over runs of whole units; a unit's rows stand together and are never split between calls."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):

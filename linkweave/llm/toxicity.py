@@ -20,6 +20,7 @@ labels (0 without any); an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -72,7 +73,10 @@ class CharModel:
         p1 = (c1 + 1) / (c1.sum() + n)
         p2 = (c2 + 5 * p1) / (c2.sum(1, keepdims=True) + 5)
         p3 = (c3 + 5 * p2) / (c3.sum(2, keepdims=True) + 5)
-        self.logp = np.log(p3).ravel().tolist()
+        logp = np.log(p3).ravel()
+        self.logp = logp.tolist()
+        #: Of all the model's values, to tell models apart.
+        self.digest = hashlib.sha256(letters.encode() + logp.tobytes()).hexdigest()
 
     def of(self, c: str) -> int:
         return self.index.get(c, self.size - 1)
@@ -239,7 +243,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         def out():
             return common.rebatch(word=pa.array(list(held), pa.string()), n=pa.array(list(held.values()), pa.int64()))
 
-        for b in batches:
+        for b in common.sliced(batches):
             for t in common.texts_of(b):
                 held.update(WORD.findall(t.lower()))
                 if len(held) > WORDS_HELD:
@@ -248,7 +252,6 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     counted = common.doc_columns(docs).mapInArrow(run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -276,12 +279,12 @@ def char_model(docs: DataFrame) -> CharModel:
     return CharModel(top, {r["k"]: r["n"] for r in counts.collect()})
 
 
-_restorers: dict[int, tuple[CharModel, Restorer]] = {}
+_restorers: dict[str, tuple[CharModel, Restorer]] = {}
 
 
 def restorer(model: CharModel) -> Restorer:
     """One for each worker and model."""
-    key = hash((model.letters, model.logp[1], model.logp[len(model.logp) // 2]))
+    key = model.digest
     if key not in _restorers:
         _restorers.clear()
         _restorers[key] = (model, Restorer(model))
@@ -294,7 +297,7 @@ def held_out(doc_id):
 
 def labelled(labels: DataFrame) -> DataFrame:
     """doc_id and toxic of the labels that may be learned from."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") != 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     return own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
@@ -304,7 +307,7 @@ def bucket_weights(docs: DataFrame, train: DataFrame, model: CharModel) -> np.nd
 
     def run(batches):
         counts, totals = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-        for b in batches:
+        for b in common.sliced(batches):
             own = restorer(model)
             for t, y in zip(common.texts_of(b), b.column(2).to_pylist(), strict=True):
                 counts[y, buckets(own.restore(t))] += 1
@@ -313,7 +316,6 @@ def bucket_weights(docs: DataFrame, train: DataFrame, model: CharModel) -> np.nd
         if totals.any():
             yield common.rebatch(k=pa.array(np.append(at, -1)), bad=pa.array(np.append(counts[1, at], totals[1])), good=pa.array(np.append(counts[0, at], totals[0])))
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     summed = rows.select("doc_id", "text", "toxic").mapInArrow(run, "k long, bad long, good long").groupBy("k").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = np.zeros((2, (1 << BITS) + 1))  # the last one has the totals
     for r in summed.collect():  # 2 ** BITS rows at most
@@ -346,13 +348,14 @@ def evidence(docs: DataFrame, model: CharModel, weights: np.ndarray) -> DataFram
     return common.map_batches(common.doc_columns(docs), run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton's method."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, copies: np.ndarray | None = None, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton's method; a row counts `copies` times."""
+    copies = np.ones(len(y)) if copies is None else copies
     x = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (copies * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (copies * (y - p)) - penalty @ w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -371,8 +374,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     else:
         found = common.materialize(evidence(docs, model, weights), "evidence")
         both = found.join(F.broadcast(train) if train.count() <= simhash.BROADCAST_ROWS else train, "doc_id")
-        rows = np.array([list(map(float, r)) for r in both.orderBy(F.xxhash64("doc_id"), *FEATURES).limit(sample).select(*FEATURES, "toxic").collect()])
-        w = fit_logistic(rows[:, :-1], rows[:, -1])
+        rows = np.array([list(map(float, r)) for r in common.sample_rows(both.select(*FEATURES, "toxic"), sample)])
+        w = fit_logistic(rows[:, :-2], rows[:, -2], rows[:, -1])
         logit = sum((F.col(f) * float(v) for f, v in zip(FEATURES, w, strict=False)), F.lit(float(w[-1])))
         scored = found.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"), *FEATURES)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
