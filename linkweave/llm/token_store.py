@@ -75,14 +75,18 @@ class _Pairs:
     def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the pairs that occur `least` times or more, and their ranks by falling count, then key.
 
-        A bucket's count is no less than that of its pairs, so only full buckets are counted exactly. Of several such
-        pairs in a bucket the most frequent one is returned; the others have their turn in later rounds.
+        A pair that overlaps itself along a run counts at every second place there, so no place here overlaps another of
+        its own pair. A bucket's count is no less than that of its pairs, so only full buckets are counted exactly. Of
+        several such pairs in a bucket the most frequent one is returned; the others have their turn in later rounds.
         """
         some = self.fresh & (self.full >= least)
         some[-1] = False
         at = np.flatnonzero(some[self.bucket])
         if not len(at):
             return at, at
+        begins = np.append([True], (at[1:] != self.next[at[:-1]]) | (self.key[at[1:]] != self.key[at[:-1]]))
+        along = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        at = at[along % 2 == 0]
         keys = np.sort(self.key[at])
         first = np.flatnonzero(np.append([True], keys[1:] != keys[:-1]))
         counts = np.diff(np.append(first, len(keys)))
@@ -120,7 +124,10 @@ class _Pairs:
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT):
-    """Symbols, symbol offset of each document's end, rules and the first nonterminal, for ids whose documents end at `ends`."""
+    """Symbols, symbol offset of each document's end, rules and the first nonterminal, for ids whose documents end at `ends`.
+
+    `least` is 2 or more.
+    """
     base = int(ids.max()) + 1 if len(ids) else 1
     room = NARROW - base if base < NARROW else 1 << 20
     rules = np.zeros((0, 2), np.int64)
@@ -133,9 +140,9 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT):
         at, rank = state.frequent(least)
         if not len(at):
             break
-        # of overlapping pairs the more frequent one wins, of equals the left one; the first of all always does
+        # of overlapping pairs the more frequent one wins; the first of all wins everywhere, so every round makes a rule
         ranks[at] = rank
-        wins = (rank < ranks[state.prev[at]]) & (rank <= ranks[state.next[at]])
+        wins = (rank < ranks[state.prev[at]]) & (rank < ranks[state.next[at]])
         ranks[at] = none
         at, rank = at[wins], rank[wins]
         uses = np.bincount(rank)

@@ -62,3 +62,25 @@ def test_round_trip_and_random_access(seed):
         a, b = sorted(rng.integers(0, len(own) + 1, 2))
         if a < b:
             assert shard.tokens(k, int(a), int(b)).tolist() == own[a:b].tolist()
+
+
+@pytest.mark.parametrize("least", [2, 3, 16])
+def test_repair_ends_on_runs_with_no_frequent_pair_left(least):
+    rng = np.random.default_rng(least)
+    for symbols in (1, 1, 2, 2, 3, 3):
+        n = int(rng.integers(1, 600))
+        ids = rng.integers(0, symbols, n).astype(np.uint32)
+        ends = np.unique(np.append(rng.integers(1, n + 1, 4), n))
+        seq, cuts, rules, base = token_store.repair(ids, ends, least)
+        whole = []
+        for left, right in rules.tolist():
+            whole.append((whole[left - base] if left >= base else [left]) + (whole[right - base] if right >= base else [right]))
+        assert [x for v in seq.tolist() for x in (whole[v - base] if v >= base else [v])] == ids.tolist()
+        places: dict = {}
+        for a, b in zip(np.append([0], cuts), cuts, strict=False):
+            doc, skip = seq[a:b].tolist(), {}
+            for k, pair in enumerate(zip(doc, doc[1:], strict=False)):
+                if skip.get(pair) != k:
+                    places[pair] = places.get(pair, 0) + 1
+                    skip[pair] = k + 1
+        assert max(places.values(), default=0) < least
