@@ -1,16 +1,21 @@
 """Operator 7, quality rules with risk-controlled thresholds.
 
 A pass over the texts takes measures of every document. A rule rejects what is above its cutoff in a ratio made of
-them. For every stratum (language) and rule the cutoff is taken from a fixed grid by labelled documents: going from
-lenient to strict, a cutoff is certified while the exact binomial test rejects that it drops more than its share of
-good documents, and the walk ends at the first that fails (fixed-sequence testing, so the walk needs no correction).
-Rules and strata are corrected by Bonferroni, and the rules share the limit, so that with confidence 1 - DELTA at most
-ALPHA of the good documents of each stratum are lost to all rules together. Among certified cutoffs the one is used
-that best parts bad from good; a rule without one rejects nothing.
-
-Labels are grouped by doc_id (the lowest quality counts) and only counts by stratum, rule and grid place are gathered.
+them. Every stratum (language) walks one path of joint rule sets: each step makes one rule's cutoff one place of a fixed
+grid stricter, or more where nothing bad lies between. The path is laid by documents that are not tested on it: what a
+cutoff drops of the stratum's unlabelled documents, less the share of bad ones it should hold by the bad labels, is its
+cost, and cheap steps come first. The good labelled documents of the stratum are the holdout. A step is certified while
+the exact binomial test rejects that its rules together drop more than ALPHA of the good documents, and the walk ends at
+the first that fails (fixed-sequence testing, so the walk needs no correction). Strata are corrected by Bonferroni, so
+that with confidence 1 - DELTA no stratum loses more than ALPHA. Among certified steps the one is used that best parts
+bad from good; without one the rules reject nothing. Four strata need some 144 good labels in each for that.
+
+Labels are grouped by doc_id (the lowest quality counts) and only counts by stratum, rule and grid place, or by stratum
+and step, are gathered.
 Defined results: null text has no words and fails the base; a null language is a stratum of its own; repeated rows
-are judged each for itself; without labels only the base rejects; an empty table gives no rows.
+are judged each for itself; steps of equal cost go by the grid's place, then the rule's name; without unlabelled documents
+all cost the same; without labels only the base rejects; a text of any length is measured whole; other columns stay out;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -128,36 +133,90 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def choose(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int, alpha: float, delta: float) -> float | None:
-    """The cutoff of one rule and stratum: good[k], bad[k] documents are above GRID[k]."""
-    best, cutoff = 0.0, None
-    for k, c in enumerate(GRID):
-        if not n_good or good[k] > alpha * n_good or binomial_tail(int(good[k]), n_good, alpha) > delta:
+def upper_bound(k: int, n: int, delta: float) -> float:
+    """The largest share that k of n does not speak against at level `delta`, by bisection of the exact tail."""
+    low, high = k / n, 1.0
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (mid, high) if binomial_tail(k, n, mid) > delta else (low, mid)
+    return high
+
+
+def path(bad: np.ndarray, other: np.ndarray, n_good: int) -> list[tuple[int, int]]:
+    """Steps (rule, grid place) of a stratum in the order they are taken.
+
+    bad[r, k] and other[r, k] are the bad and the unlabelled documents whose first cutoff of rule r that rejects them is
+    GRID[k]; the last column counts those that none does.
+    """
+    n_bad, n_other = int(bad[0].sum()), int(other[0].sum())
+    if not n_bad:
+        return []
+    bad_share = np.cumsum(bad, 1) / n_bad
+    share = np.cumsum(other, 1) / max(1, n_other) - bad_share * n_bad / (n_bad + n_good)
+    cost = np.maximum.accumulate(np.maximum(share, 0.0), 1) * (n_other > 0)
+    steps = [(round(float(cost[r, k]), 9), k, r) for r, k in np.argwhere(bad[:, : len(GRID)] > 0).tolist()]
+    return [(r, k) for _, k, r in sorted(steps)]
+
+
+def choose(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int, alpha: float, delta: float) -> int | None:
+    """The step whose rule set is used: good[i], bad[i] documents are rejected by step i or one before it."""
+    best, step = 0.0, None
+    for i in range(len(good)):
+        if not n_good or good[i] > alpha * n_good or binomial_tail(int(good[i]), n_good, alpha) > delta:
             break
-        gain = bad[k] / max(1, n_bad) - CARE * good[k] / n_good
+        gain = bad[i] / max(1, n_bad) - CARE * good[i] / n_good
         if gain > best + 1e-12:
-            best, cutoff = gain, c
-    return cutoff
+            best, step = gain, i
+    return step
 
 
 def thresholds(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff of every rule that has one."""
-    rules = ratios()
-    truth = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good"))
-    judged = found.where(~base_failed()).join(truth, "doc_id")
-    above = lambda r: F.size(F.filter(F.array(*map(F.lit, GRID)), lambda c: c < r))
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), above(r).alias("k")) for name, r in rules.items()]))
-    counts = judged.select("stratum", "good", each.alias("x")).groupBy("stratum", "x.rule").agg(*[F.sum(F.when((F.col("good") == g) & (F.col("x.k") > F.lit(len(GRID) - 1 - k)), 1).otherwise(0)).alias(f"{name}{k}") for g, name in ((1, "g"), (0, "b")) for k in range(len(GRID))], F.sum(F.col("good")).alias("n_good"), F.sum(1 - F.col("good")).alias("n_bad"))
-    counts = common.materialize(counts, "counts")
-    tests, share = max(1, counts.count()), alpha / len(rules)
-
-    def pick(batches):
-        for pdf in batches:
-            g, b = (pdf[[f"{x}{k}" for k in range(len(GRID))]].to_numpy() for x in "gb")
-            cutoffs = [choose(g[i], b[i], int(pdf["n_good"][i]), int(pdf["n_bad"][i]), share, delta / tests) for i in range(len(pdf))]
-            yield pd.DataFrame({"stratum": pdf["stratum"], "rule": pdf["rule"], "cutoff": pd.array(cutoffs, "Float64")})
-
-    return counts.mapInPandas(pick, "stratum string, rule string, cutoff double").where("cutoff is not null")
+    """stratum, rule and cutoff of the chosen rule sets, with the labels each set was certified by.
+
+    n_good and good_lost, n_bad and bad_caught are of the whole set; risk is the upper bound of its share of good ones.
+    """
+    rules, places = ratios(), len(GRID)
+    names = list(rules)
+    truth = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
+    level = lambda r: F.size(F.filter(F.array(*map(F.lit, GRID)), lambda c: c >= r))
+    judged = found.where(~base_failed()).select("doc_id", "stratum", F.array(*map(level, rules.values())).alias("levels")).join(truth, "doc_id", "left")
+    judged = common.materialize(judged.select("stratum", "good", "levels"), "levels")
+    each = judged.select("stratum", "good", F.posexplode("levels").alias("rule", "place")).groupBy("stratum", "good", "rule", "place").agg(F.count("*").alias("n"))
+
+    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
+        bad, other, n_good = np.zeros((len(names), places + 1)), np.zeros((len(names), places + 1)), 0
+        for good, rule, place, n in zip(pdf["good"], pdf["rule"], pdf["place"], pdf["n"], strict=True):
+            if pd.isna(good):
+                other[rule, place] += n
+            elif not good:
+                bad[rule, place] += n
+            elif rule == 0:
+                n_good += n
+        steps = path(bad, other, int(n_good))
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "steps": [[r * places + k for r, k in steps]]}, dtype=object)
+
+    paths = each.groupBy("stratum").applyInPandas(lay, "stratum string, steps array<int>").where("size(steps) > 0")
+    paths = common.materialize(paths, "paths")
+    tests = max(1, paths.count())
+    # the step that rejects a document is the first one at a place no laxer than the document's own; a last one catches the rest
+    taken = f"transform(steps, y -> element_at(levels, int(y / {places}) + 1) <= y % {places})"
+    first = F.array_position(F.concat(F.expr(taken), F.array(F.lit(True))), True) - 1
+    counts = judged.where("good is not null").join(paths, "stratum").groupBy("stratum", "steps", "good", first.alias("step")).agg(F.count("*").alias("n"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = [divmod(int(x), places) for x in pdf["steps"].iloc[0]]
+        lost, caught = np.zeros(len(steps) + 1, np.int64), np.zeros(len(steps) + 1, np.int64)
+        for good, step, n in zip(pdf["good"], pdf["step"], pdf["n"], strict=True):
+            (lost if good else caught)[step] += n
+        n_good, n_bad = int(lost.sum()), int(caught.sum())
+        lost, caught = np.cumsum(lost)[:-1], np.cumsum(caught)[:-1]
+        i = choose(lost, caught, n_good, n_bad, alpha, delta / tests)
+        strictest = dict(steps[: i + 1]) if i is not None else {}
+        out = pd.DataFrame({"rule": [names[r] for r in strictest], "cutoff": [GRID[k] for k in strictest.values()]}, columns=["rule", "cutoff"]).astype({"rule": object, "cutoff": float})
+        own = (n_good, int(lost[i]), n_bad, int(caught[i]), upper_bound(int(lost[i]), n_good, delta / tests)) if strictest else (0, 0, 0, 0, 0.0)
+        return out.assign(stratum=pd.Series([pdf["stratum"].iloc[0]] * len(out), dtype=object), n_good=own[0], good_lost=own[1], n_bad=own[2], bad_caught=own[3], risk=own[4])
+
+    return counts.groupBy("stratum").applyInPandas(pick, "stratum string, rule string, cutoff double, n_good long, good_lost long, n_bad long, bad_caught long, risk double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
