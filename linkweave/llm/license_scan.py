@@ -1,21 +1,25 @@
 """Operator 5, license scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a run of up to BLOCK_LINES lines; a template is found in it if the block's word set holds at least
-THRESHOLD of the template's words. The join is exact: words are in one global order, the rarest first by their count
+A block is a line with words and the lines with words behind it, BLOCK_LINES in all or more, until those behind it hold as
+many words as the longest template; so a notice lies in one block however it is wrapped or spaced. A template is found in
+a block whose word set holds at least THRESHOLD of the template's words. The join is exact: words are in one global order, the rarest first by their count
 over all documents (first pass); a template that overlaps a block in `need` words or more shares one of its first
 size - need + 1 words with it (prefix filter), the block has at least `need` words (length filter), and what stands
 behind the shared word on either side must suffice (positional filter). The rest is counted. Templates are a fixed
 table, so their inverted index of prefixes goes to every task.
 
 Base labels come from phrases whose words stand consecutively. Defined results: null and empty texts have no words,
-no places and score 0; repeated rows are scanned each for itself; an empty table gives no rows.
+no places and score 0; repeated rows are scanned each for itself; a text of any length is scanned whole; of blocks that
+hold equal shares of a template the first is reported; other columns stay out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Container
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,11 +69,23 @@ def normal(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
-def blocks(lines: list[bytes], count: int = BLOCK_LINES):
-    """(first line, words) of every run of lines; a shorter text is one block."""
-    own = [frozenset(x.split()) for x in lines]
-    for i in range(max(1, len(own) - count + 1)):
-        yield i, frozenset().union(*own[i : i + count])
+def blocks(lines: list[bytes], longest: int, known: Container[bytes], count: int = BLOCK_LINES):
+    """(number of the first line, its words in `known`) of every block.
+
+    A block that begins without such a word is left out: the next one holds all that it does.
+    """
+    at, sizes, sets = [], [], []
+    for i, line in enumerate(lines):
+        if words := line.split():
+            at.append(i)
+            sizes.append(len(words))
+            sets.append(frozenset(w for w in words if w in known))
+    total, end = [0, *accumulate(sizes)], 0
+    for i in range(len(at)):
+        while end < len(at) and (end < i + count or total[end] - total[i + 1] < longest):
+            end += 1
+        if sets[i]:
+            yield at[i], frozenset().union(*sets[i:end])
 
 
 class Index:
@@ -138,6 +154,7 @@ def scan(docs: DataFrame, table: list[tuple[str, str]] = TEMPLATES, threshold: f
     """doc_id, n_words, places of phrases, and the best block (first line, containment) of each template found."""
     known = templates(table)
     index = Index(known, frequencies(docs, frozenset().union(*(t.words for t in known))), threshold)
+    longest = max(len(text.split()) for _, text in table)
     places_type = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     found_type = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("line", pa.int64()), ("containment", pa.float64())]))
 
@@ -146,7 +163,7 @@ def scan(docs: DataFrame, table: list[tuple[str, str]] = TEMPLATES, threshold: f
         words = own.split()
         best: dict[int, tuple[float, int]] = {}
         if not index.first.isdisjoint(words):
-            for line, block in blocks(own.split(b"\n"), lines):
+            for line, block in blocks(own.split(b"\n"), longest, index.rank, lines):
                 if not index.first.isdisjoint(block):
                     for k, share in index.matches(block):
                         best[k] = max(best.get(k, (0.0, 0)), (share, -line))

@@ -18,10 +18,13 @@ def words(text):
 def brute(text):
     w = words(text)
     places = [(i, label) for p, label in BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-    lines = [set(words(x)) for x in (text or "").split("\n")]
-    found = {}
-    for i in range(max(1, len(lines) - 2)):
-        b = set().union(*lines[i : i + 3])
+    lines = [words(x) for x in (text or "").split("\n") if words(x)]
+    found, longest = {}, max(len(t.split()) for _, t in ls.TEMPLATES)
+    for i in range(len(lines)):
+        n = 3
+        while i + n < len(lines) and sum(map(len, lines[i + 1 : i + n])) < longest:
+            n += 1
+        b = set().union(*lines[i : i + n])
         for label, t in ls.TEMPLATES:
             t = set(t.split())
             if len(t & b) >= 0.8 * len(t) - 1e-9:
@@ -74,3 +77,15 @@ def test_filters_lose_no_match(threshold):
         block = frozenset(rng.choice(vocabulary, rng.integers(0, 25)).tolist())
         want = {k: len(t.words & block) / len(t.words) for k, t in enumerate(known) if len(t.words & block) >= threshold * len(t.words) - 1e-9}
         assert dict(index.matches(block)) == want
+
+
+@pytest.mark.parametrize("width", [1, 2, 4, 9])
+@pytest.mark.parametrize("between", ["\n", "\n\n", "\n# \n#\t\n * "])
+def test_wrapped_and_spaced_notices_are_found(spark, width, between):
+    rows = []
+    for i, (_, text) in enumerate(ls.TEMPLATES):
+        w = ("some code that stands before " + text + " and some that follows it in this file").split()
+        rows.append((i, between.join(" ".join(w[k : k + width]) for k in range(0, len(w), width)), i, i))
+    df = spark.createDataFrame(rows, "doc_id long, text string, found int, places int")
+    got = {r.doc_id: {f.template for f in r.found if f.containment == 1.0} for r in ls.scan(df).collect()}
+    assert all(i in got[i] for i in range(len(ls.TEMPLATES)))
