@@ -60,3 +60,21 @@ def test_skeletons(spark):
     words = [("sevencare", "spnkr"), ("sevnkeyr", "spnkr"), ("builders", "pltrs"), ("piltrs", "pltrs"), ("vidyaalya", "ptl"), ("vidyalaya", "ptl"), ("", "")]
     got = spark.createDataFrame(words, "w string, s string").select("s", skeleton(F.col("w")).alias("k")).collect()
     assert all(r.s == r.k for r in got)
+
+
+def test_legal_forms_of_a_long_name(spark):
+    """Every word is read once: for each legal form anew, with a copy of the tokens before it, this took minutes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from linkweave.functions import names
+
+    short = ["li pvt li li x li co ltd li", "pvt lix li", "", "sa", "co li incorporated"]
+    long = " ".join(["word pvt li li"] * 20_000)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([*short, long])], "i int, s string")
+    began = time.time()
+    got = df.orderBy("i").select(F.array_join(names.tokens(F.col("s")), " ").alias("t"), names.legal_bits(names.tokens(F.col("s"))).alias("b")).collect()
+    assert time.time() - began < 20
+    assert [tuple(r) for r in got[:-1]] == [("li pvt ltd ltd x li co ltd ltd", 16896 | 4), ("pvt lix li", 16384), ("", 0), ("sa", 1 << 15), ("co ltd inc", 4 | 512 | 64)]
+    assert tuple(got[-1]) == (" ".join(["word pvt ltd ltd"] * 20_000), 16896)
