@@ -156,3 +156,27 @@ def test_streams(spark, tmp_path):
     assert {(1, 11), (2, 12)} <= found
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert incremental.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_class_pool(spark):
+    """Equal to the pool of all cosines, copies and ties included, without a row for any other pair."""
+    words = ["red", "blue", "green", "ring", "bolt", "rod", "anvil"]
+    rows = []
+    for i in range(150):
+        name = " ".join(words[j] for j in range(7) if (i * 37 % 101) >> j & 1)
+        addr = "" if i % 11 == 0 else f"{i % 5} oak st {words[i % 4]}"
+        rows.append((i, 1 + i % 3, "x" if i % 4 else "y", "" if i % 13 == 0 else f"r{i % 2}", name, addr))
+    cfg = blocking.Config(k_comb=4, k_name=3, k_addr=2)
+    records = spark.createDataFrame(rows, "entity_id long, source long, country string, region string, name_core string, addr_clean string")
+    views = blocking.view_weights(blocking.postings(records, cfg), cfg).cache()
+    wanted = spark.createDataFrame([(i,) for i in range(0, 150, 6)], "s1_id long")
+    cos = blocking.cosines(views, cfg).cache()
+    place = ["country", "block", "s1_id", "cand_id", "source"]
+    read = lambda df, keys, values: {tuple(r[k] for k in keys): [round(r[v], 7) for v in values] for r in df.collect()}
+    every = read(blocking.pool(cos, cfg), place, ["name_cos", "addr_cos", "comb_cos"])
+    assert every and read(blocking.class_pool(views, cfg), place, ["name_cos", "addr_cos", "comb_cos"]) == every
+    some = {k: v for k, v in every.items() if k[2] % 6 == 0}
+    got = blocking.class_pool(views, cfg, wanted)
+    assert read(got, place, ["name_cos", "addr_cos", "comb_cos"]) == some and got.count() == len(some)
+    best = read(blocking.target_best(cos), place[:2] + place[3:], ["t_best", "t_second"])
+    assert read(blocking.class_target_best(views, cfg), place[:2] + place[3:], ["t_best", "t_second"]) == best
