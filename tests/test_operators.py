@@ -180,3 +180,30 @@ def test_class_pool(spark):
     assert read(got, place, ["name_cos", "addr_cos", "comb_cos"]) == some and got.count() == len(some)
     best = read(blocking.target_best(cos), place[:2] + place[3:], ["t_best", "t_second"])
     assert read(blocking.class_target_best(views, cfg), place[:2] + place[3:], ["t_best", "t_second"]) == best
+
+
+def test_jaro_winkler_of_long_strings():
+    """A pass over each string: comparing every pair of places within reach took minutes here."""
+    import time
+
+    def plain(a, b):
+        reach, taken, mine = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+        for i, c in enumerate(a):
+            j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == c), None)
+            if j is not None:
+                taken.add(j)
+                mine.append(c)
+        if not mine:
+            return 0.0
+        m, swaps = len(mine), sum(x != b[j] for x, j in zip(mine, sorted(taken), strict=True)) // 2
+        jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+        prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+        return jaro if jaro <= 0.7 else jaro + 0.1 * prefix * (1 - jaro)
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abcd ", k=rng.randint(1, 14))) for _ in "ab")
+        assert a == b or math.isclose(sim.jaro_winkler(a, b), plain(a, b), abs_tol=1e-12)
+    began = time.time()
+    assert math.isclose(sim.jaro_winkler("ab" * 30_000, "ba" * 15_000 + "c" * 30_000), 0.5)
+    assert time.time() - began < 5
