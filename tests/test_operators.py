@@ -207,3 +207,16 @@ def test_jaro_winkler_of_long_strings():
     began = time.time()
     assert math.isclose(sim.jaro_winkler("ab" * 30_000, "ba" * 15_000 + "c" * 30_000), 0.5)
     assert time.time() - began < 5
+
+
+def test_shared_mass_has_no_row_for_each_token(spark):
+    rows = [(1, 1, "red ring 7", "7 oak"), (2, 2, "red ring", "7 oak"), (3, 3, "blue ring", ""), (4, 1, "blue", "7 elm")]
+    records = spark.createDataFrame([(i, s, "x", "", n, a) for i, s, n, a in rows], "entity_id long, source long, country string, region string, name_core string, addr_clean string")
+    index = blocking.postings(records)
+    pairs = spark.createDataFrame([("x", "~residual", 1, 2), ("x", "~residual", 1, 3), ("x", "~residual", 4, 9)], "country string, block string, s1_id long, cand_id long")
+    out = blocking.shared_mass(pairs, index)
+    got = {(r.s1_id, r.cand_id): [round(r[c], 6) for c in ("name_shared", "addr_shared", "num_shared", "name_max")] for r in out.collect()}
+    two, three = round(math.log(2), 6), round(math.log(4 / 3), 6)
+    assert got == {(1, 2): [round(math.log(2) + math.log(4 / 3), 6), two, 1.0, two], (1, 3): [three, 0.0, 0.0, three], (4, 9): [0.0] * 4}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("token" in line for line in plan.splitlines() if "Join" in line and "cand_id" in line)
