@@ -220,3 +220,20 @@ def test_shared_mass_has_no_row_for_each_token(spark):
     assert got == {(1, 2): [round(math.log(2) + math.log(4 / 3), 6), two, 1.0, two], (1, 3): [three, 0.0, 0.0, three], (4, 9): [0.0] * 4}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("token" in line for line in plan.splitlines() if "Join" in line and "cand_id" in line)
+
+
+def test_class_pool_of_a_block_without_views_of_targets(spark):
+    rows = [(1, 1, "x", "", "alpha", ""), (4, 1, "x", "", "alpha", ""), (2, 2, "x", "", "beta", "")]
+    records = spark.createDataFrame(rows, "entity_id long, source long, country string, region string, name_core string, addr_clean string")
+    views = blocking.view_weights(blocking.postings(records))
+    assert views.count() > 0 and blocking.class_pool(views).collect() == [] and blocking.class_target_best(views).collect() == []
+
+
+def test_plans_do_not_hold_how_kept_tables_are_made(spark):
+    """Each use of the index named how its records are made, up to 27 million letters in one plan."""
+    from linkweave.plans import fixtures
+
+    kept = fixtures.kept(spark, "of a test", "counts", lambda: spark.range(9).groupBy((F.col("id") % 3).alias("k")).agg(F.count("*").alias("n")))
+    assert sorted(map(tuple, kept.join(kept.select("k"), "k").collect())) == [(0, 3), (1, 3), (2, 3)]
+    plan = kept._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and "InMemory" not in plan
