@@ -237,3 +237,15 @@ def test_plans_do_not_hold_how_kept_tables_are_made(spark):
     assert sorted(map(tuple, kept.join(kept.select("k"), "k").collect())) == [(0, 3), (1, 3), (2, 3)]
     plan = kept._jdf.queryExecution().toString()
     assert "Aggregate" not in plan and "InMemory" not in plan
+
+
+def test_pair_context_retrieves_by_frequent_tokens(spark, tmp_path):
+    """Entities and targets that share one word only, which more than 40 records of the block have."""
+    from linkweave.plans import linking
+
+    rows = [(24 * i, "common") for i in range(30)] + [(24 * i + 16, "common") for i in range(30)] + [(24 * i + 16, f"other{i}") for i in range(30, 40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 4) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = linking.pair_context(spark, str(tmp_path)).collect()
+    assert {r.s1_id for r in found} == {24 * i for i in range(30)} and len(found) == 30 * linking.CFG.k_comb
+    assert "df <=" not in linking.ORACLE_SQL["pair_context"] and "df <=" in linking.ORACLE_SQL["pair_overlap"]
